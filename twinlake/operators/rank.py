@@ -50,9 +50,10 @@ def global_rank(df: DataFrame, *order, name: str = "rank") -> tuple[DataFrame, i
 def global_cumulative(df: DataFrame, order, weight: str) -> tuple[DataFrame, int, int]:
     """Add ``rank``, ``cum`` (running weight) and ``cum_cum`` (running sum of ``cum``).
 
-    ``order`` is a unique key. Returns the table, the row count and the total weight.
+    ``order`` is a unique key: a column or a list. Returns the table, the row
+    count and the total weight.
     """
-    placed = range_sorted(df, order)
+    placed = range_sorted(df, *(order if isinstance(order, list) else [order]))
     w = Window.partitionBy(_PID).orderBy(_POS).rowsBetween(Window.unboundedPreceding, 0)
     local = placed.withColumn("cum", F.sum(F.col(weight).cast("long")).over(w)).withColumn(
         "cum_cum", F.sum(F.col("cum").cast("double")).over(w)

@@ -44,7 +44,7 @@ class Roles:
         rows = spark.read.text(path, wholetext=True).take(2)
         if len(rows) != 1:
             raise ValueError(f"need exactly one metadata file at {path}")
-        return cls.from_dict(json.loads(rows[0][0].lstrip("﻿")))
+        return cls.from_dict(json.loads(rows[0][0].lstrip("\ufeff")))
 
     @classmethod
     def from_dict(cls, meta: dict) -> "Roles":
