@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinlake.operators.joins import attach
 from twinlake.operators.rank import global_cumulative
 from twinlake.sources.scratch import materialize
 
@@ -25,7 +26,7 @@ def suppress_small_groups(df: DataFrame, qi: list[str], min_size: int) -> DataFr
     kept = materialize(
         class_sizes(df.dropna(subset=qi), qi).filter(F.col("size") > min_size).select(*qi)
     )
-    return df.join(kept, qi, "left_semi")
+    return df.join(kept, qi, "left_semi").select(*df.columns)
 
 
 def suppress_min_distinct(
@@ -43,9 +44,9 @@ def suppress_min_distinct(
     counts = firsts.filter(F.col("__g").isNotNull()).groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
     if drop_zero:
         keep = materialize(counts.filter(F.col("__n") >= n).select(F.col("__g").alias(group)))
-        return df.join(keep, group, "left_semi")
+        return df.join(keep, group, "left_semi").select(*df.columns)
     bad = materialize(counts.filter(F.col("__n") < n).select(F.col("__g").alias(group)))
-    return df.join(bad, group, "left_anti")
+    return df.join(bad, group, "left_anti").select(*df.columns)
 
 
 def k_anonymity(df: DataFrame, qi: list[str]) -> DataFrame:
@@ -83,94 +84,133 @@ def class_t(df: DataFrame, qi: list[str], sa: str, kind: str = "categorical") ->
     src = df if kind == "categorical" else df.filter(F.col(sa).isNotNull())
     cells = materialize(src.groupBy(*qi, F.col(sa).alias("__v")).agg(F.count(F.lit(1)).alias("__n")))
     levels = cells.groupBy("__v").agg(F.sum("__n").alias("__q"))
-    by_class = Window.partitionBy(*qi)
     if kind == "categorical":
         whole = materialize(levels.withColumnRenamed("__v", "__w"))
         total = whole.agg(F.sum("__q").alias("s")).scalar()
-        joined = cells.join(whole, F.col("__v").eqNullSafe(F.col("__w")))
-        p = F.col("__n") / F.sum("__n").over(by_class)
+        sizes = cells.groupBy(*qi).agg(F.sum("__n").alias("__size"))
+        joined = attach(cells.join(whole, F.col("__v").eqNullSafe(F.col("__w"))), sizes, qi)
+        p = F.col("__n") / F.col("__size")
         q = F.col("__q") / total
-        cell = joined.select(*qi, p.alias("p"), q.alias("q"))
-        t = (F.sum(F.abs(F.col("p") - F.col("q"))) + 1 - F.sum("q")) / 2
+        cell = joined.select(*qi, p.alias("__p"), q.alias("__q"))
+        t = (F.sum(F.abs(F.col("__p") - F.col("__q"))) + 1 - F.sum("__q")) / 2
         return cell.groupBy(*qi).agg(t.alias("t"))
     return _ordered_t(cells, levels, qi)
 
 
 def _ordered_t(cells: DataFrame, levels: DataFrame, qi: list[str]) -> DataFrame:
     whole, m, total = global_cumulative(levels, "__v", "__q")
-    whole = materialize(whole.withColumnRenamed("__v", "__w"))
-    in_order = Window.partitionBy(*qi).orderBy("rank")
-    runs = (
-        cells.join(whole, F.col("__v") == F.col("__w"))
-        .withColumn("c", F.sum("__n").over(in_order) / F.sum("__n").over(Window.partitionBy(*qi)))
-        # each cell stands for its level and the levels up to the next observed one
-        .withColumn("next", F.lead("rank").over(in_order))
-        .withColumn("next_cum", F.lead("cum").over(in_order))
-        .withColumn("next_cum_cum", F.lead("cum_cum").over(in_order))
-        .withColumn("first", F.row_number().over(in_order) == 1)
-    )
+    names = {"__v": "__w", "rank": "__rank", "cum": "__cum", "cum_cum": "__cum_cum"}
+    whole = materialize(whole.withColumnsRenamed(names))
+    placed = cells.join(whole, F.col("__v") == F.col("__w"))
+    runs = _runs_by_window(placed, qi) if m <= DENSE_LEVELS else _runs_by_rank(placed, qi)
     if m <= DENSE_LEVELS:
-        shares = whole.select("rank", "cum").collect()  # DENSE_LEVELS rows at most
-        steps = F.array(*[F.lit(r["cum"] / total) for r in sorted(shares)])
-        width = (F.coalesce(F.col("next"), F.lit(m + 1)) - F.col("rank")).cast("int")
+        shares = whole.select("__rank", "__cum").collect()  # DENSE_LEVELS rows at most
+        steps = F.array(*[F.lit(r["__cum"] / total) for r in sorted(shares)])
+        width = (F.coalesce(F.col("__next"), F.lit(m + 1)) - F.col("__rank")).cast("int")
         part = F.aggregate(
-            F.slice(steps, F.col("rank").cast("int"), width),
+            F.slice(steps, F.col("__rank").cast("int"), width),
             F.lit(0.0),
-            lambda acc, q: acc + F.abs(F.col("c") - q),
+            lambda acc, q: acc + F.abs(F.col("__c") - q),
         )
-        runs = runs.withColumn("part", part)
+        runs = runs.withColumn("__part", part)
     else:
         runs = _run_distance(runs, whole, m, total)
-    before = F.when(F.col("first"), (F.col("cum_cum") - F.col("cum")) / F.lit(float(total))).otherwise(0.0)
-    t = F.sum(F.col("part") + before) / F.lit(float(max(m - 1, 1)))
+    before = F.when(F.col("__first"), (F.col("__cum_cum") - F.col("__cum")) / F.lit(float(total))).otherwise(0.0)
+    t = F.sum(F.col("__part") + before) / F.lit(float(max(m - 1, 1)))
     return runs.groupBy(*qi).agg(t.alias("t"))
 
 
+def _runs_by_window(placed: DataFrame, qi: list[str]) -> DataFrame:
+    """Each cell stands for its level and the levels up to the class's next one.
+
+    For few levels only: a class then has at most DENSE_LEVELS cells.
+    """
+    in_order = Window.partitionBy(*qi).orderBy("__rank")
+    return placed.withColumns(
+        {
+            "__c": F.sum("__n").over(in_order) / F.sum("__n").over(Window.partitionBy(*qi)),
+            "__next": F.lead("__rank").over(in_order),
+            "__next_cum": F.lead("__cum").over(in_order),
+            "__next_cum_cum": F.lead("__cum_cum").over(in_order),
+            "__first": F.row_number().over(in_order) == 1,
+        }
+    )
+
+
+def _runs_by_rank(placed: DataFrame, qi: list[str]) -> DataFrame:
+    """The same without gathering a class: running sums over all cells, next cell by number."""
+    names = {"rank": "__g", "cum": "__run"}
+    numbered, _, _ = global_cumulative(placed, [*qi, "__rank"], "__n")
+    numbered = materialize(numbered.drop("cum_cum").withColumnsRenamed(names))
+    spans = numbered.groupBy(*qi).agg(
+        F.min("__g").alias("__start"),
+        F.max("__g").alias("__end"),
+        F.min(F.col("__run") - F.col("__n")).alias("__before"),
+        F.sum("__n").alias("__size"),
+    )
+    following = numbered.select(
+        (F.col("__g") - 1).alias("__g"),
+        F.col("__rank").alias("__next"),
+        F.col("__cum").alias("__next_cum"),
+        F.col("__cum_cum").alias("__next_cum_cum"),
+    )
+    runs = attach(numbered, spans, qi).join(following, "__g", "left")
+    last = F.col("__g") == F.col("__end")
+    ends = {c: F.when(~last, F.col(c)) for c in ("__next", "__next_cum", "__next_cum_cum")}
+    return runs.withColumns(
+        {
+            **ends,
+            "__c": (F.col("__run") - F.col("__before")) / F.col("__size"),
+            "__first": F.col("__g") == F.col("__start"),
+        }
+    )
+
+
 def _run_distance(runs: DataFrame, whole: DataFrame, m: int, total: int) -> DataFrame:
     """Sum of |c - Q(j)| over each run of levels, from prefix sums instead of a grid.
 
     Q only grows, so the run splits where Q passes c. That place is found by an
     as-of lookup of c among the cumulative shares, in buckets of equal share.
     """
-    buckets = 4096
+    buckets = max(4096, min(1_000_000, m // 100_000))
     one = float(total)
-    share = whole.select((F.col("cum") / one).alias("u"), F.col("rank").alias("k"), F.col("cum_cum").alias("kk"))
-    looked_up = runs.select(F.col("c").alias("u")).distinct()
-    empty_k = F.lit(None).cast("long").alias("k"), F.lit(None).cast("double").alias("kk")
-    both = share.withColumn("probe", F.lit(0)).unionByName(
-        looked_up.select("u", *empty_k).withColumn("probe", F.lit(1))
-    ).withColumn("b", F.floor(F.col("u") * buckets))
+    share = whole.select((F.col("__cum") / one).alias("__u"), F.col("__rank").alias("__k"), F.col("__cum_cum").alias("__kk"))
+    looked_up = runs.select(F.col("__c").alias("__u")).distinct()
+    empty_k = F.lit(None).cast("long").alias("__k"), F.lit(None).cast("double").alias("__kk")
+    both = share.withColumn("__probe", F.lit(0)).unionByName(
+        looked_up.select("__u", *empty_k).withColumn("__probe", F.lit(1))
+    ).withColumn("__b", F.floor(F.col("__u") * buckets))
     # last level before each bucket: at most one row per bucket
-    tops = share.groupBy(F.floor(F.col("u") * buckets).alias("b")).agg(
-        F.max("k").alias("k"), F.max("kk").alias("kk")
+    tops = share.groupBy(F.floor(F.col("__u") * buckets).alias("__b")).agg(
+        F.max("__k").alias("__k"), F.max("__kk").alias("__kk")
     ).collect()
     carry, last = [], (0, 0.0)
-    by_bucket = {r["b"]: (r["k"], r["kk"]) for r in tops}
+    by_bucket = {r["__b"]: (r["__k"], r["__kk"]) for r in tops}
     for b in range(buckets + 1):
         carry.append((b, *last))
         last = by_bucket.get(b, last)
-    start = both.sparkSession.createDataFrame(carry, "b long, k0 long, kk0 double")
-    w = Window.partitionBy("b").orderBy("u", "probe").rowsBetween(Window.unboundedPreceding, 0)
+    start = both.sparkSession.createDataFrame(carry, "__b long, __k0 long, __kk0 double")
+    w = Window.partitionBy("__b").orderBy("__u", "__probe").rowsBetween(Window.unboundedPreceding, 0)
     split = (
-        both.withColumn("k", F.last("k", True).over(w))
-        .withColumn("kk", F.last("kk", True).over(w))
-        .filter("probe = 1")
-        .join(F.broadcast(start), "b")  # buckets + 1 rows
+        both.withColumn("__k", F.last("__k", True).over(w))
+        .withColumn("__kk", F.last("__kk", True).over(w))
+        .filter("__probe = 1")
+        .join(F.broadcast(start), "__b")  # buckets + 1 rows
         .select(
-            F.col("u").alias("c"),
-            F.coalesce("k", "k0").alias("k"),
-            F.coalesce("kk", "kk0").alias("kk"),
+            F.col("__u").alias("__c"),
+            F.coalesce("__k", "__k0").alias("__k"),
+            F.coalesce("__kk", "__kk0").alias("__kk"),
         )
     )
-    lo, hi = F.col("rank"), F.coalesce(F.col("next") - 1, F.lit(m))
-    lo_sum = F.col("cum_cum") - F.col("cum")  # prefix sum before the run
-    end = whole.agg(F.max("cum_cum").alias("s")).scalar()
-    hi_sum = F.coalesce(F.col("next_cum_cum") - F.col("next_cum"), end)
-    mid = F.greatest(lo - 1, F.least(hi, F.col("k")))
-    mid_sum = F.when(F.col("k") < lo, lo_sum).when(F.col("k") > hi, hi_sum).otherwise(F.col("kk"))
-    below_c = F.col("c") * (mid - lo + 1) - (mid_sum - lo_sum) / one
-    above_c = (hi_sum - mid_sum) / one - F.col("c") * (hi - mid)
-    return runs.join(split, "c").withColumn("part", below_c + above_c)
+    lo, hi = F.col("__rank"), F.coalesce(F.col("__next") - 1, F.lit(m))
+    lo_sum = F.col("__cum_cum") - F.col("__cum")  # prefix sum before the run
+    end = whole.agg(F.max("__cum_cum").alias("s")).scalar()
+    hi_sum = F.coalesce(F.col("__next_cum_cum") - F.col("__next_cum"), end)
+    mid = F.greatest(lo - 1, F.least(hi, F.col("__k")))
+    mid_sum = F.when(F.col("__k") < lo, lo_sum).when(F.col("__k") > hi, hi_sum).otherwise(F.col("__kk"))
+    below_c = F.col("__c") * (mid - lo + 1) - (mid_sum - lo_sum) / one
+    above_c = (hi_sum - mid_sum) / one - F.col("__c") * (hi - mid)
+    return runs.join(split, "__c").withColumn("__part", below_c + above_c)
 
 
 def t_closeness(df: DataFrame, qi: list[str], sa: dict[str, str]) -> DataFrame:
@@ -187,10 +227,5 @@ def class_report(df: DataFrame, qi: list[str], sa: dict[str, str]) -> DataFrame:
     out = class_distinct(df, qi, list(sa))
     for col, kind in sa.items():
         t = class_t(df, qi, col, kind).withColumnRenamed("t", f"t_{col}")
-        right = t.select(*[F.col(c).alias(f"__{c}") for c in qi], f"t_{col}")
-        on = None
-        for c in qi:
-            one = F.col(c).eqNullSafe(F.col(f"__{c}"))
-            on = one if on is None else on & one
-        out = out.join(right, on, "left").drop(*[f"__{c}" for c in qi])
+        out = attach(out, t, qi, "left")
     return out

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from graphlib import CycleError, TopologicalSorter
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinlake.functions.rand import uniform
 from twinlake.operators.aggregate import prevalence
 from twinlake.operators.association import corr_matrix
-from twinlake.operators.draw import draw_weighted
+from twinlake.operators.draw import draw_weighted, value_counts
+from twinlake.operators.joins import attach
 from twinlake.operators.rank import global_cumulative
 from twinlake.sources.scratch import materialize
 
@@ -31,20 +32,29 @@ class BayesNet:
         """Count every (parents, value) combination; rows with a NULL in them are left out."""
         for node, parents in self.parents.items():
             known = df.dropna(subset=[*parents, node])
-            cells = known.groupBy(*parents, node).agg(F.count(F.lit(1)).alias("n"))
-            self.counts[node] = materialize(cells)
+            self.counts[node] = materialize(value_counts(known, parents, node))
         return self
 
     def cpd(self, node: str) -> DataFrame:
         """Conditional probabilities of a column: parents, value, count, p and cumulative p."""
         parents, counts = self.parents[node], self.counts[node]
-        if not parents:
-            ranked, _, total = global_cumulative(counts, node, "n")
-            return ranked.select(node, "n", (F.col("n") / total).alias("p"), (F.col("cum") / total).alias("cum"))
-        w = Window.partitionBy(*parents)
-        total = F.sum("n").over(w)
-        run = w.orderBy(node).rowsBetween(Window.unboundedPreceding, 0)
-        return counts.withColumns({"p": F.col("n") / total, "cum": F.sum("n").over(run) / total})
+        ranked, _, _ = global_cumulative(counts, [*parents, node], "__n")
+        ranked = materialize(ranked.withColumnRenamed("cum", "__run").drop("rank", "cum_cum"))
+        spans = ranked.groupBy(*parents).agg(
+            F.min(F.col("__run") - F.col("__n")).alias("__before"), F.sum("__n").alias("__total")
+        )
+        if parents:
+            placed = attach(ranked, spans, parents)
+        else:
+            whole = spans.select("__total").scalar()
+            placed = ranked.withColumns({"__before": F.lit(0), "__total": whole})
+        return placed.select(
+            *parents,
+            node,
+            F.col("__n").alias("n"),
+            (F.col("__n") / F.col("__total")).alias("p"),
+            ((F.col("__run") - F.col("__before")) / F.col("__total")).alias("cum"),
+        )
 
     def cpd_table(self) -> DataFrame:
         """All conditional tables as one long table with text states."""
@@ -74,7 +84,7 @@ class BayesNet:
             u = uniform(seed, node, key)
             df = draw_weighted(df, self.counts[node], parents, node, u, node)
             if len(parents) > 1:
-                levels = materialize(self.counts[node].select(node).distinct().withColumn("n", F.lit(1)))
+                levels = materialize(self.counts[node].select(node).distinct().withColumn("__n", F.lit(1)))
                 df = draw_weighted(df, levels, [], node, uniform(seed, f"{node}/unseen", key), "__any")
                 df = df.withColumn(node, F.coalesce(node, "__any")).drop("__any")
         return df

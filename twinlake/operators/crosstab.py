@@ -41,11 +41,11 @@ def compare_crosstab(orig: DataFrame, syn: DataFrame, row: str, cols: list[str])
     """Counts and shares of every cell on both sides, from one aggregation of the union."""
     keys = [row, *cols]
     sides = [
-        df.dropna(subset=keys).select(*keys, F.lit(o).alias("o"), F.lit(1 - o).alias("s"))
+        df.dropna(subset=keys).select(*keys, F.lit(o).alias("__o"), F.lit(1 - o).alias("__s"))
         for df, o in ((orig, 1), (syn, 0))
     ]
     both = sides[0].unionByName(sides[1])
-    cells = materialize(both.groupBy(*keys).agg(F.sum("o").alias("n_original"), F.sum("s").alias("n_synthetic")))
+    cells = materialize(both.groupBy(*keys).agg(F.sum("__o").alias("n_original"), F.sum("__s").alias("n_synthetic")))
     total = cells.agg(F.sum("n_original").alias("o"), F.sum("n_synthetic").alias("s"))
 
     def share(count, side):

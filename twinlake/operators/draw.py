@@ -6,13 +6,11 @@ whose run of positions covers it is the draw.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlake.functions.rand import below
-from twinlake.operators.joins import null_safe
+from twinlake.operators.joins import attach, null_safe
 from twinlake.operators.rank import global_cumulative
 from twinlake.sources.scratch import materialize
 
@@ -23,7 +21,7 @@ BLOCK = 64
 
 
 def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    return df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
 
 
 def _pick(runs: Column, pos: Column) -> Column:
@@ -32,13 +30,13 @@ def _pick(runs: Column, pos: Column) -> Column:
 
 
 def draw_weighted(df: DataFrame, cells: DataFrame, by: list[str], value: str, u: Column, out: str) -> DataFrame:
-    """Add ``out``: a value of ``cells`` (columns ``by``, ``value``, ``n``) drawn with ``u``.
+    """Add ``out``: a value of ``cells`` (columns ``by``, ``value``, ``__n``) drawn with ``u``.
 
     ``by`` names columns of both tables; rows of a group without cells get NULL.
     ``cells`` should be a written table, as it is read more than once.
     """
-    sizes = cells.groupBy(*by).agg(F.count(F.lit(1)).alias("levels"), F.sum("n").alias("total"))
-    top = sizes.agg(F.max("levels"), F.sum("levels"), F.sum("total")).first()
+    sizes = cells.groupBy(*by).agg(F.count(F.lit(1)).alias("__levels"), F.sum("__n").alias("__total"))
+    top = sizes.agg(F.max("__levels"), F.sum("__levels"), F.sum("__total")).first()
     if top[0] is None:
         return df.withColumn(out, F.lit(None).cast(cells.schema[value].dataType))
     if top[0] <= ARRAY_LEVELS:
@@ -48,18 +46,18 @@ def draw_weighted(df: DataFrame, cells: DataFrame, by: list[str], value: str, u:
 
 def _draw_array(df, cells, by, value, u, out):
     if not by:
-        known = cells.select(value, "n").orderBy(F.col(value).asc_nulls_first()).collect()  # ARRAY_LEVELS rows at most
+        known = cells.select(value, "__n").orderBy(F.col(value).asc_nulls_first()).collect()  # ARRAY_LEVELS rows at most
         kind, runs, run = cells.schema[value].dataType, [], 0
         for r in known:
-            run += r["n"]
+            run += r["__n"]
             runs.append(F.struct(F.lit(run).cast("long").alias("hi"), F.lit(r[value]).cast(kind).alias("v")))
         return df.withColumn("__pos", below(u, run)).withColumn(out, _pick(F.array(*runs), F.col("__pos"))).drop("__pos")
     w = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_first())
-    runs = cells.withColumn("hi", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = cells.withColumn("__hi", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     table = materialize(
         runs.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(
-            F.array_sort(F.collect_list(F.struct("hi", F.col(value).alias("v")))).alias("__runs"),
-            F.max("hi").alias("__total"),
+            F.array_sort(F.collect_list(F.struct(F.col("__hi").alias("hi"), F.col(value).alias("v")))).alias("__runs"),
+            F.max("__hi").alias("__total"),
         )
     )
     joined = df.join(table, null_safe(df, table, [(c, f"__{c}") for c in by]), "left")
@@ -72,24 +70,23 @@ def _draw_block(df, cells, by, value, u, out, levels, total):
     # a block holds no more values than positions; common values span many blocks
     width = BLOCK * (1 + total // (levels * 1024))
     ranked, _, _ = global_cumulative(
-        cells.select(*by, F.col(value).alias("__v"), "n"),
+        cells.select(*by, F.col(value).alias("__v"), "__n"),
         [*by, F.col("__v").asc_nulls_first()],
-        "n",
+        "__n",
     )
-    ranked = ranked.select(*[F.col(c).alias(f"__{c}") for c in by], "__v", "n", "cum")
+    ranked = ranked.select(*[F.col(c).alias(f"__{c}") for c in by], "__v", "__n", "cum")
     keys = [f"__{c}" for c in by]
     spans = materialize(
-        ranked.groupBy(*keys).agg(F.min(F.col("cum") - F.col("n")).alias("__start"), F.sum("n").alias("__total"))
+        ranked.groupBy(*keys).agg(F.min(F.col("cum") - F.col("__n")).alias("__start"), F.sum("__n").alias("__total"))
     )
     if by:
-        pairs = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-        placed = ranked.alias("a").join(spans.alias("b"), reduce(Column.__and__, pairs)).select("a.*", "__start", "__total")
+        placed = attach(ranked, spans, keys)
         drawn = df.join(spans, null_safe(df, spans, list(zip(by, keys))), "left")
     else:
         placed = ranked.select("*", F.lit(0).alias("__start"))
         drawn = df.withColumn("__total", F.lit(total))
     hi = F.col("cum") - F.col("__start")
-    first, last = F.floor((hi - F.col("n")) / width), F.floor((hi - 1) / width)
+    first, last = F.floor((hi - F.col("__n")) / width), F.floor((hi - 1) / width)
     blocks = placed.select(*keys, "__v", hi.alias("__hi"), F.explode(F.sequence(first, last)).alias("__block"))
     table = blocks.groupBy(*keys, "__block").agg(
         F.array_sort(F.collect_list(F.struct(F.col("__hi").alias("hi"), F.col("__v").alias("v")))).alias("__runs")

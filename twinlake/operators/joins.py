@@ -14,6 +14,13 @@ def null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -
     return on
 
 
+def attach(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on equally named columns with NULL equal to NULL, keeping the left side's key columns."""
+    renamed = right.withColumnsRenamed({c: f"__on_{c}" for c in on})
+    joined = left.join(renamed, null_safe(left, renamed, [(c, f"__on_{c}") for c in on]), how)
+    return joined.drop(*[f"__on_{c}" for c in on])
+
+
 def prefix_join(df: DataFrame, col: str, rules: dict[str, list[str]], name: str) -> DataFrame:
     """Add the rule each code's prefix belongs to, one row per matching rule.
 

@@ -164,7 +164,7 @@ def fit(
             cells[n.name] = materialize(value_counts(coded, by, f"__d_{n.name}"))
     finally:
         coded.unpersist()
-    first = cells[nodes[0].name].agg(F.sum("n")).first()[0] or 0
+    first = cells[nodes[0].name].agg(F.sum("__n")).first()[0] or 0
     order = [c for c in df.columns if c in in_combo or c in plain or c in numbers]
     return Model(nodes, cells, combos, order, first)
 

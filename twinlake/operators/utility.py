@@ -85,15 +85,17 @@ def split(df: DataFrame, key, share: float = 0.3, seed=1) -> tuple[DataFrame, Da
     return df.filter(~flagged), df.filter(flagged)
 
 
-def classifier(name: str, classes: int, max_codes: int, seed: int = 1):
+def classifier(name: str, classes: int, max_codes: int, rows: int, seed: int = 1):
+    # a penalty of 1/rows is the unit-strength penalty on the summed loss
+    penalty = 1.0 / max(rows, 1)
     if name == "tree":
         return DecisionTreeClassifier(impurity="entropy", maxDepth=3, maxBins=max(32, max_codes), seed=seed)
     if name == "forest":
         return RandomForestClassifier(numTrees=100, maxBins=max(32, max_codes), seed=seed)
     if name == "logreg":
-        return LogisticRegression(maxIter=1000, regParam=0.0)
+        return LogisticRegression(maxIter=1000, regParam=penalty)
     if name == "svm":
-        svm = LinearSVC(maxIter=100)
+        svm = LinearSVC(maxIter=50, regParam=penalty, tol=1e-4)
         return svm if classes <= 2 else OneVsRest(classifier=svm)
     raise ValueError(f"unknown model {name!r}")
 
@@ -139,12 +141,12 @@ def evaluate(
     train, test = split(rows, key, share, seed)
     train = train.persist()
     try:
-        seen = train.agg(F.count_distinct("label"), F.max("label")).first()
+        seen = train.agg(F.count_distinct("label"), F.max("label"), F.count(F.lit(1))).first()
         if seen[0] < 2:
             return spark.createDataFrame([(None, None, None)], "rows bigint, accuracy double, f1 double")
         codes = prepared.agg(*[F.max(F.col(c).cast("double")) for c in features]).first()
         widest = int(min(1024, max([c or 0 for c in codes]) + 1))
-        fitted = classifier(model, int(seen[1]) + 1, widest, seed).fit(train)
+        fitted = classifier(model, int(seen[1]) + 1, widest, seen[2], seed).fit(train)
     finally:
         train.unpersist()
     return classification_scores(fitted.transform(test))
