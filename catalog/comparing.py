@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.common import CUSTOMER_SYN, LINEITEM_SYN, Family, customer_syn, lineitem_syn, table
 from twinlake.operators import fidelity, leakage
 from twinlake.operators.aggregate import rounded
+from twinlake.plans.validate import Validation, validate
 from twinlake.sources.roles import Roles
 
 family = Family()
@@ -223,3 +224,40 @@ _CHECKS = [["c_name"], ["c_name", "c_nationkey"], *_COMBOS]
 @add("leak_report", _all(*[_leak_arm(c) for c in _CHECKS]))
 def _(spark, d):
     return rounded(leakage.leak_report(*pair(spark, d), _CHECKS))
+
+
+_CELL_SQL = f"""SELECT 'c_mktsegment x c_nationkey' AS item, 'tv_distance' AS metric, round(0.5 * sum(abs(
+    n_o / (SELECT count(*) FROM customer)::DOUBLE - n_s / (SELECT count(*) FROM known)::DOUBLE)), 6) AS value FROM (
+      SELECT sum(o) AS n_o, sum(s) AS n_s FROM (SELECT c_mktsegment, c_nationkey, 1 AS o, 0 AS s FROM customer
+        UNION ALL SELECT c_mktsegment, c_nationkey, 0, 1 FROM known) GROUP BY c_mktsegment, c_nationkey)"""
+
+
+@add(
+    "plan_validate",
+    f"""{PAIR}, known AS (SELECT * FROM customer_syn WHERE c_mktsegment IS NOT NULL)
+        SELECT 'structure' AS phase, "column" AS item, metric, value FROM ({' UNION ALL '.join(_REPORT)})
+        UNION ALL SELECT 'bivariate', * FROM ({_CELL_SQL})
+        UNION ALL SELECT 'privacy', "check", 'share', share FROM ({' UNION ALL '.join(_leak_arm(c) for c in _CHECKS)})""",
+)
+def _(spark, d):
+    spec = Validation(
+        roles=Roles(continuous=["c_acctbal"], categorical=_CATS),
+        crosstabs=[("c_mktsegment", ["c_nationkey"])],
+        pii=_CHECKS[:2],
+        quasi=_COMBOS,
+    )
+    phases = ("structure", "bivariate", "privacy")
+    got = validate(*pair(spark, d), spec, "customer", "noise", ["c_custkey"], phases)
+    cells = got["bivariate"].groupBy("crosstab").agg(
+        (F.sum(F.abs(F.col("share_original") - F.col("share_synthetic"))) / 2).alias("value")
+    )
+    parts = [
+        got["structure"].select(F.lit("structure").alias("phase"), F.col("column").alias("item"), "metric", "value"),
+        cells.select(
+            F.lit("bivariate").alias("phase"), F.col("crosstab").alias("item"), F.lit("tv_distance").alias("metric"), "value"
+        ),
+        got["privacy"].select(
+            F.lit("privacy").alias("phase"), F.col("check").alias("item"), F.lit("share").alias("metric"), F.col("share").alias("value")
+        ),
+    ]
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))

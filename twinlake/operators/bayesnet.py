@@ -36,7 +36,7 @@ class BayesNet:
         return self
 
     def cpd(self, node: str) -> DataFrame:
-        """Conditional probabilities of a column: parents, value, count, p and cumulative p."""
+        """Conditional probabilities of a column: parents, value, ``_n`` rows, ``_p`` and running ``_cum``."""
         parents, counts = self.parents[node], self.counts[node]
         ranked, _, _ = global_cumulative(counts, [*parents, node], "__n")
         ranked = materialize(ranked.withColumnRenamed("cum", "__run").drop("rank", "cum_cum"))
@@ -51,9 +51,9 @@ class BayesNet:
         return placed.select(
             *parents,
             node,
-            F.col("__n").alias("n"),
-            (F.col("__n") / F.col("__total")).alias("p"),
-            ((F.col("__run") - F.col("__before")) / F.col("__total")).alias("cum"),
+            F.col("__n").alias("_n"),
+            (F.col("__n") / F.col("__total")).alias("_p"),
+            ((F.col("__run") - F.col("__before")) / F.col("__total")).alias("_cum"),
         )
 
     def cpd_table(self) -> DataFrame:
@@ -63,7 +63,12 @@ class BayesNet:
             parents = self.parents[node]
             state = F.concat_ws(",", *[F.concat(F.lit(f"{p}="), F.col(p).cast("string")) for p in sorted(parents)])
             one = self.cpd(node).select(
-                F.lit(node).alias("node"), state.alias("given"), F.col(node).cast("string").alias("value"), "n", "p", "cum"
+                F.lit(node).alias("node"),
+                state.alias("given"),
+                F.col(node).cast("string").alias("value"),
+                F.col("_n").alias("n"),
+                F.col("_p").alias("p"),
+                F.col("_cum").alias("cum"),
             )
             out = one if out is None else out.unionByName(one)
         return out
