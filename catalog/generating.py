@@ -183,14 +183,14 @@ def _(spark, d):
     return made(spark, d, {"Geschlecht": Weighted(ex.GENDER), "first": first, "street": Fake("street")})
 
 
-def _record(name, src, products, rate, copy=None):
+def _record(name, src, products, rate, copy=None, factor=ex.BOOSTER, last="2022-12-31"):
     flag, fields = f"{name} Impfung", ["Impfstoff", "Impfstoffhersteller", "Impfdatum", "Ablaufdatum des Impfstoffs"]
     q = {f: f'"{name} {f}"' for f in fields}
-    given = f"({u(flag)} < {_bracket(chr(34) + 'Geschlecht' + chr(34), '0', rate, ex.BOOSTER)})::INTEGER"
+    given = f"({u(flag)} < {_bracket(chr(34) + 'Geschlecht' + chr(34), chr(34) + 'Alter' + chr(34), rate, factor)})::INTEGER"
     made_by = {
         "Impfstoff": _words(list(products), u(f"{name} Impfstoff")),
         "Impfstoffhersteller": _case(q["Impfstoff"], {k: _text(v) for k, v in products.items()}),
-        "Impfdatum": _date_sql(f"{name} Impfdatum", "DATE '2022-01-01'", "DATE '2022-12-31'"),
+        "Impfdatum": _date_sql(f"{name} Impfdatum", "DATE '2022-01-01'", f"DATE '{last}'"),
         "Ablaufdatum des Impfstoffs": _date_sql(
             f"{name} Ablaufdatum des Impfstoffs",
             f"CAST({q['Impfdatum']} + to_months(1) AS DATE)",
@@ -269,13 +269,57 @@ def _(spark, d):
     return made(spark, d, ex.health_survey())
 
 
-@add("gen_vaccination_register")
+_TBE_SQL, _AFTER_TBE = _record("FSME", _AFTER_TD, ex.TBE, ex.TBE_RATE, last="2022-04-30")
+_COVID_SQL, _AFTER_COVID = _record("Covid", _AFTER_TBE, ex.COVID, ex.COVID_RATE, factor=ex.COVID_BOOSTER)
+_PREFIXES = ", ".join(f"('{p}', {_text(s)})" for s, ps in ex.STATE_PREFIXES.items() for p in ps)
+
+
+def _place(name, src, dim, parent, parent_col, value):
+    """SQL for a uniform row of a dimension within its parent."""
+    pick = f"CAST(floor({u(name)} * n) AS BIGINT)"
+    return f"""{name.lower()}_d AS (SELECT *, row_number() OVER (PARTITION BY {parent_col} ORDER BY {value}) - 1 AS i,
+        count(*) OVER (PARTITION BY {parent_col}) AS n FROM (SELECT DISTINCT {parent_col}, {value} FROM {dim})),
+      {name.lower()}_e AS (SELECT e.*, d.{value} AS "{name}" FROM {src} e LEFT JOIN {name.lower()}_d d
+        ON d.{parent_col} = e."{parent}" AND d.i = {pick})"""
+
+
+_REGISTER_COLUMNS = [
+    f"{v} {f}"
+    for v in ("Polio", "Tetanus und Diphterie", "FSME", "Covid")
+    for f in ("Impfung", "Impfstoff", "Impfstoffhersteller", "Impfdatum", "Ablaufdatum des Impfstoffs")
+]
+
+
+@add(
+    "gen_vaccination_register",
+    f"""WITH rules(prefix, state) AS (VALUES {_PREFIXES}),
+        codes AS (SELECT CAST(1000 + p_partkey * 4001 % 9000 AS VARCHAR) AS code, p_brand || ',' || p_type AS cities FROM part),
+        areas AS (SELECT state, code, cities FROM codes JOIN rules ON starts_with(code, prefix)),
+        towns AS (SELECT code, trim(unnest(string_split(cities, ','))) AS city FROM areas),
+        {PEOPLE}, {_POLIO_SQL}, {_TD_SQL}, {_TBE_SQL}, {_COVID_SQL},
+        homes AS (SELECT *, {weighted_sql(u('Bundesland'), ex.STATES)} AS "Bundesland" FROM {_AFTER_COVID}),
+        {_place('Postleitzahl', 'homes', 'areas', 'Bundesland', 'state', 'code')},
+        {_place('Ort', 'postleitzahl_e', 'towns', 'Postleitzahl', 'code', 'city')},
+        born AS (SELECT *, {_BORN} AS "Geburtsdatum" FROM ort_e)
+        SELECT o_orderkey, "Geschlecht", "Alter", "Alterskategorie", "Bundesland", "Postleitzahl", "Ort",
+          strftime("Geburtsdatum", '%Y-%m-%d') AS "Geburtsdatum",
+          CAST(CAST(1000 + floor({u('Sozialversicherungsnummer')} * 9000) AS BIGINT)::VARCHAR
+            || strftime("Geburtsdatum", '%d%m%y') AS BIGINT) AS "Sozialversicherungsnummer",
+          CASE "Geschlecht" WHEN 'Männlich' THEN {_words(_MALE, u('Vorname/word'))}
+            ELSE {_words(_FEMALE, u('Vorname/word'))} END AS "Vorname",
+          {_words(DICTIONARIES['last_name'], u('Nachname/word'))} AS "Nachname",
+          {_words(DICTIONARIES['street'], u('Straße/word'))} || ' ' ||
+            CAST(CAST(floor({u('Straße/number')} * 200) AS BIGINT) + 1 AS VARCHAR) AS "Straße", """
+    + ", ".join(f"strftime(\"{c}\", '%Y-%m-%d') AS \"{c}\"" if "datum" in c else f'"{c}"' for c in _REGISTER_COLUMNS)
+    + " FROM born",
+)
 def _(spark, d):
     # the parts table stands in for the postcode reference list
     codes = table(spark, d, "part").select(
         (F.lit(1000) + F.col("p_partkey") * 4001 % 9000).alias("code"), F.concat_ws(",", "p_brand", "p_type").alias("cities")
     )
-    return made(spark, d, ex.vaccination_register(codes))
+    out = made(spark, d, ex.vaccination_register(codes))
+    return out.select(*[F.col(c).cast("string").alias(c) if "datum" in c else F.col(c) for c in out.columns])
 
 
 @add(

@@ -14,6 +14,7 @@ from twinlake.operators.pseudonym import id_from_pattern, pseudonymize
 from twinlake.operators.rank import exact_quantiles
 from twinlake.operators.synthesize import fit, sample_valid
 from twinlake.plans.recipe import PRESETS, Recipe
+from twinlake.sources.roles import Roles
 
 
 def one(df):
@@ -153,7 +154,11 @@ def test_empty_synthetic(spark):
     s = o.filter("n > 5")
     assert col(fidelity.category_coverage(o, s, ["c"]), "value") == [0.0]
     assert col(fidelity.range_coverage(o, s, ["n"]), "value") == [None]
+    assert col(fidelity.tv_complement(o, s, ["c"]), "value") == [None]
     assert one(leakage.leak_report(o, s, [["c"]]))["matched"] == 0
+    roles = Roles(continuous=["n"], categorical=["c"])
+    report = {(r["metric"], r["column"]): r["value"] for r in fidelity.structural_report(o, s, roles, "d", "m").collect()}
+    assert report[("category_coverage", "c")] == 0 and report[("mean_similarity", "n")] is None
 
 
 def test_tuples_do_not_run_together(spark):

@@ -38,9 +38,8 @@ def suppress_min_distinct(
     with no first row at all is kept unless ``drop_zero``.
     """
     orders = [order] if isinstance(order, str) else list(order)
-    firsts = df.groupBy(member).agg(
-        F.min_by(F.struct(group), F.struct(*orders)).getField(group).alias("__g")
-    )
+    first = F.col(orders[0]) if len(orders) == 1 else F.struct(*orders)
+    firsts = df.groupBy(member).agg(F.min_by(group, first).alias("__g"))
     counts = firsts.filter(F.col("__g").isNotNull()).groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
     if drop_zero:
         keep = materialize(counts.filter(F.col("__n") >= n).select(F.col("__g").alias(group)))

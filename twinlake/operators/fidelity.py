@@ -97,12 +97,15 @@ def statistic_similarity(
 ) -> DataFrame:
     """1 - |difference of a statistic| / range of the original, per column: ``column, metric, value``."""
     pair = _paired(o, s, cols)
-    got = {}
-    for st in stats:
-        if st == "median":
-            pair = pair.join(medians({"median": o, "median_s": s}, cols, accuracy), "column", "left")
-        got[f"{st}_similarity"] = _similar(F.col(st), F.col(f"{st}_s"), F.col("lo"), F.col("hi"))
-    return _long(pair, got)
+    if "median" in stats:
+        pair = pair.join(medians({"median": o, "median_s": s}, cols, accuracy), "column", "left")
+    return _long(pair, _similarities(stats))
+
+
+def _similarities(stats) -> dict[str, Column]:
+    return {
+        f"{st}_similarity": _similar(F.col(st), F.col(f"{st}_s"), F.col("lo"), F.col("hi")) for st in stats
+    }
 
 
 def _range_coverage() -> Column:
@@ -142,14 +145,55 @@ def boundary_adherence(o: DataFrame, s: DataFrame, cols: list[str]) -> DataFrame
     return inside.agg(F.array(*parts).alias("__s")).select(F.inline("__s"))
 
 
+def _as_text(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Columns as text; numbers, dates and timestamps as the exact text of their number."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    ranged = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    return df.select(
+        *[
+            (as_number(df, c) if isinstance(kinds[c], ranged) else F.col(f"`{c}`")).cast("string").alias(c)
+            for c in cols
+        ]
+    )
+
+
 def value_profile(o: DataFrame, s: DataFrame, cols: list[str]) -> DataFrame:
     """Rows per (column, value) on each side, a NULL being one value."""
-    both = melt(o, cols, "string").select("*", F.lit(1).alias("o"), F.lit(0).alias("s")).unionByName(
-        melt(s, cols, "string").select("*", F.lit(0).alias("o"), F.lit(1).alias("s"))
-    )
+    sides = [
+        melt(_as_text(df, cols), cols, "string").select("*", F.lit(i).alias("o"), F.lit(1 - i).alias("s"))
+        for df, i in ((o, 1), (s, 0))
+    ]
+    both = sides[0].unionByName(sides[1])
     return both.groupBy("column", "value").agg(F.sum("o").alias("o"), F.sum("s").alias("s"))
 
 
+def _profile_medians(profile: DataFrame, cols: list[str]) -> DataFrame:
+    """Exact medians of both sides from the value counts: ``column, median, median_s``."""
+    long = profile.filter(F.col("column").isin(*cols)).select(
+        "column",
+        F.col("value").cast("double").alias("value"),
+        F.inline(F.array(*[F.struct(F.lit(x).alias("side"), F.col(x).alias("n")) for x in ("o", "s")])),
+    )
+    found = exact_quantiles(long.filter(F.col("n") > 0), ["side", "column"], "value", [0.5], "n")
+    return found.groupBy("column").agg(
+        F.max(F.when(F.col("side") == "o", F.col("quantile"))).alias("median"),
+        F.max(F.when(F.col("side") == "s", F.col("quantile"))).alias("median_s"),
+    )
+
+
+def _profile_adherence(profile: DataFrame, bounds: dict[str, tuple]) -> DataFrame:
+    """Boundary adherence from the value counts; ``bounds`` has one entry per column."""
+    v, inside = F.col("value").cast("double"), None
+    for c, (lo, hi) in bounds.items():
+        hit, ok = F.col("column") == c, v.between(lo, hi) if lo is not None else F.lit(None).cast("boolean")
+        inside = F.when(hit, ok) if inside is None else inside.when(hit, ok)
+    known = profile.filter(F.col("column").isin(*bounds) & F.col("value").isNotNull() & (F.col("s") > 0))
+    share = F.sum(F.when(inside, F.col("s")).otherwise(0)) / F.sum("s")
+    return known.groupBy("column").agg(share.alias("value")).select(
+        "column", F.lit("boundary_adherence").alias("metric"), "value"
+    )
+
+
 def category_coverage(o: DataFrame, s: DataFrame, cols: list[str], profile: DataFrame | None = None) -> DataFrame:
     """Share of the original's categories that occur in the synthetic column."""
     prof = value_profile(o, s, cols) if profile is None else profile.filter(F.col("column").isin(*cols))
@@ -160,14 +204,15 @@ def category_coverage(o: DataFrame, s: DataFrame, cols: list[str], profile: Data
 
 
 def tv_complement(o: DataFrame, s: DataFrame, cols: list[str], profile: DataFrame | None = None) -> DataFrame:
-    """1 - half the summed difference of the value shares."""
+    """1 - half the summed difference of the value shares; NULL when a side has no rows."""
     prof = value_profile(o, s, cols) if profile is None else profile.filter(F.col("column").isin(*cols))
     prof = materialize(prof) if profile is None else prof
     # every column has as many profiled rows as its side has rows
     sizes = prof.groupBy("column").agg(F.sum("o").alias("o"), F.sum("s").alias("s"))
     n_o = sizes.agg(F.max("o").alias("n")).scalar()
     n_s = sizes.agg(F.max("s").alias("n")).scalar()
-    shares = prof.select("column", F.abs(F.col("o") / n_o - F.col("s") / n_s).alias("d"))
+    p_o, p_s = F.when(n_o > 0, F.col("o") / n_o), F.when(n_s > 0, F.col("s") / n_s)
+    shares = prof.select("column", F.abs(p_o - p_s).alias("d"))
     return shares.groupBy("column").agg((1 - F.sum("d") / 2).alias("value")).select(
         "column", F.lit("frequency_similarity").alias("metric"), "value"
     )
@@ -191,21 +236,36 @@ def missing_similarity(o: DataFrame, s: DataFrame, cols: list[str]) -> DataFrame
 
 
 def structural_report(o: DataFrame, s: DataFrame, roles, dataset: str, method: str) -> DataFrame:
-    """Every single-column metric for the columns its role calls for, as one long table."""
+    """Every single-column metric for the columns its role calls for, as one long table.
+
+    Each side is read twice: once for the statistics of all columns and once for
+    the value counts, from which medians, boundaries, shares and categories follow.
+    """
     ranged = [*roles.datetime, *roles.continuous]
     named = [*roles.categorical, *roles.boolean]
-    parts = [missing_similarity(o, s, [*ranged, *named])]
-    if ranged or named:
-        profile = materialize(value_profile(o, s, [*ranged, *named]))
-        if ranged:
-            parts += [
-                statistic_similarity(o, s, ranged),
-                range_coverage(o, s, ranged),
-                boundary_adherence(o, s, ranged),
-                tv_complement(o, s, ranged, profile),
-            ]
-        if named:
-            parts.append(category_coverage(o, s, named, profile))
+    profile = materialize(value_profile(o, s, [*ranged, *named]))
+    totals = profile.groupBy("column").agg(
+        *[F.sum(x).alias(f"rows_{x}") for x in ("o", "s")],
+        *[F.sum(F.when(F.col("value").isNull(), F.col(x)).otherwise(0)).alias(f"nulls_{x}") for x in ("o", "s")],
+    )
+
+    def rate(x):
+        return F.when(F.col(f"rows_{x}") > 0, F.col(f"nulls_{x}") / F.col(f"rows_{x}"))
+
+    parts = [_long(totals, {"missing_similarity": 1 - F.abs(rate("o") - rate("s"))})]
+    if ranged:
+        pair = _paired(o, s, ranged)
+        stats = pair.collect()  # one row per column
+        pair = o.sparkSession.createDataFrame(stats, pair.schema)
+        bounds = {r["column"]: (r["lo"], r["hi"]) for r in stats}
+        pair = pair.join(_profile_medians(profile, ranged), "column", "left")
+        parts += [
+            _long(pair, {**_similarities(("mean", "median", "std")), "range_coverage": _range_coverage()}),
+            _profile_adherence(profile, bounds),
+            tv_complement(o, s, ranged, profile),
+        ]
+    if named:
+        parts.append(category_coverage(o, s, named, profile))
     rows = reduce(DataFrame.unionByName, parts)
     return rows.select(F.lit(dataset).alias("dataset"), F.lit(method).alias("method"), "metric", "column", "value")
 

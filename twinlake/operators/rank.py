@@ -83,14 +83,21 @@ def global_cumulative(df: DataFrame, order, weight: str) -> tuple[DataFrame, int
     return out.drop(_PID, _POS), rows, weight_sum
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, by: list[str], value: str, probs: list[float], weight: str | None = None
+) -> DataFrame:
     """Exact interpolated quantiles per group: columns ``by``, ``prob``, ``quantile``.
 
     Values are counted first, so repeated values shrink before the shuffle, then
     range-partitioned. Only the partitions that hold a wanted position are read
     again. ``by`` should have few values (columns, sides); NULL values are skipped.
+    With ``weight`` the rows are already counted, one per group and value.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    known = df.filter(F.col(value).isNotNull())
+    if weight is None:
+        counts = known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    else:
+        counts = known.select(*by, value, F.col(weight).alias("__n"))
     placed = range_sorted(counts, *by, value)
     sums = placed.groupBy(*by, _PID).agg(F.sum("__n").alias("__n")).collect()
     spark = df.sparkSession
