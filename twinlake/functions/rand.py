@@ -66,6 +66,22 @@ def normalise(weights) -> list[float]:
     return out
 
 
+def step_lookup(x: Column, cuts: list, values: list[Column], closed: bool = False) -> Column:
+    """``values[i]`` for the first i with ``x < cuts[i]`` (``<=`` when closed), else the last value.
+
+    A balanced tree of comparisons: it stays in generated code and takes
+    log2(n) steps, unlike a scan over an array.
+    """
+    if len(values) == 1:
+        return values[0]
+    mid = len(values) // 2
+    bound = F.lit(cuts[mid - 1])
+    low = step_lookup(x, cuts[:mid], values[:mid], closed)
+    return F.when(x <= bound if closed else x < bound, low).otherwise(
+        step_lookup(x, cuts[mid:], values[mid:], closed)
+    )
+
+
 def weighted(u: Column, values: dict) -> Column:
     """Pick a key of ``values`` with probability proportional to its weight."""
     picks = list(values)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinlake.functions.rand import below
+from twinlake.functions.rand import below, step_lookup
 from twinlake.operators.joins import attach, null_safe
 from twinlake.operators.rank import global_cumulative
 from twinlake.sources.scratch import materialize
@@ -47,11 +47,12 @@ def draw_weighted(df: DataFrame, cells: DataFrame, by: list[str], value: str, u:
 def _draw_array(df, cells, by, value, u, out):
     if not by:
         known = cells.select(value, "__n").orderBy(F.col(value).asc_nulls_first()).collect()  # ARRAY_LEVELS rows at most
-        kind, runs, run = cells.schema[value].dataType, [], 0
+        kind, cuts, run = cells.schema[value].dataType, [], 0
         for r in known:
             run += r["__n"]
-            runs.append(F.struct(F.lit(run).cast("long").alias("hi"), F.lit(r[value]).cast(kind).alias("v")))
-        return df.withColumn("__pos", below(u, run)).withColumn(out, _pick(F.array(*runs), F.col("__pos"))).drop("__pos")
+            cuts.append(run)
+        values = [F.lit(r[value]).cast(kind) for r in known]
+        return df.withColumn("__pos", below(u, run)).withColumn(out, step_lookup(F.col("__pos"), cuts, values)).drop("__pos")
     w = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_first())
     runs = cells.withColumn("__hi", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     table = materialize(

@@ -84,7 +84,8 @@ def _paired(o: DataFrame, s: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def _similar(a: Column, b: Column, lo: Column, hi: Column) -> Column:
-    return F.when(hi > lo, F.greatest(F.lit(0.0), 1 - F.abs(a - b) / (hi - lo)))
+    known = (hi > lo) & a.isNotNull() & b.isNotNull()  # greatest() would skip a NULL
+    return F.when(known, F.greatest(F.lit(0.0), 1 - F.abs(a - b) / (hi - lo)))
 
 
 def _long(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:

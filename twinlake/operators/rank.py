@@ -9,6 +9,8 @@ from twinlake.functions.rand import as_column
 from twinlake.sources.scratch import materialize
 
 _PID, _POS = "__pid", "__pos"
+# Groups times partitions whose sizes the driver looks at when it picks quantile positions.
+MAX_TARGETS = 1_000_000
 
 
 def range_sorted(df: DataFrame, *order) -> DataFrame:
@@ -101,6 +103,8 @@ def exact_quantiles(
     placed = range_sorted(counts, *by, value)
     sums = placed.groupBy(*by, _PID).agg(F.sum("__n").alias("__n")).collect()
     spark = df.sparkSession
+    if len(sums) > MAX_TARGETS:
+        raise ValueError("quantiles per group are for few groups: columns or sides")
     groups: dict[tuple, list] = {}
     for r in sums:
         groups.setdefault(tuple(r[c] for c in by), []).append((r[_PID], r["__n"]))
@@ -124,7 +128,7 @@ def exact_quantiles(
     hits = (
         placed.filter(F.col(_PID).isin(*pids) if pids else F.lit(False))
         .withColumn("__hi", F.sum("__n").over(w))
-        .join(F.broadcast(targets), [*by, _PID])  # len(groups) * len(probs) * 2 rows at most
+        .join(F.broadcast(targets), [*by, _PID])  # two rows per group and wanted quantile
         .filter((F.col("__at") < F.col("__hi")) & (F.col("__at") >= F.col("__hi") - F.col("__n")))
     )
     return hits.groupBy(*by, "prob").agg(

@@ -13,7 +13,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinlake.functions.rand import below, uniform
+from twinlake.functions.rand import step_lookup, uniform
 from twinlake.operators.aggregate import melt
 from twinlake.operators.association import _with_marginals, joint_counts
 from twinlake.operators.constraints import keep_valid
@@ -106,9 +106,8 @@ def _bin_of(value: Column, grid: list[float]) -> Column:
     inner = grid[1:-1]
     if not inner:
         return F.when(value.isNotNull(), F.lit(0))
-    edges = F.array(*[F.lit(float(x)) for x in inner])
-    over = F.size(F.filter(edges, lambda e: e < value))
-    return F.when(value.isNotNull(), over)
+    bins = [F.lit(i) for i in range(len(inner) + 1)]
+    return F.when(value.isNotNull(), step_lookup(value, [float(x) for x in inner], bins, closed=True))
 
 
 def _grids(df: DataFrame, numeric: list[str], bins: int) -> dict[str, list[float]]:
