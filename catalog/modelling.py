@@ -279,20 +279,21 @@ def fitted(spark, d, method="marginal"):
     return syn.fit(table(spark, d, "part"), _CAT, _NUM, method=method, bins=_BINS)
 
 
-def _marginals():
-    steps, last = [], "part"
+def _marginals(base="part", key="p_partkey", tail=""):
+    steps, last = [], base
     for i, c in enumerate(_CAT):
-        cols = "e.p_partkey" if i == 0 else "e.*"
-        steps.append(f"m{i} AS (SELECT {cols}, c.{c} FROM {last} e JOIN {_draw(c, 'p_partkey', c, 'part')})")
+        cols = f"e.{key}" if i == 0 else "e.*"
+        steps.append(f"m{i} AS (SELECT {cols}, c.{c} FROM {last} e JOIN {_draw(c, key, c, 'part')})")
         last = f"m{i}"
     probs = ", ".join(f"{i / _BINS!r}" for i in range(_BINS + 1))
     return f"""WITH edges AS (SELECT list_sort(list_distinct(quantile_cont(p_retailprice, [{probs}]))) AS g FROM part),
       bins AS (SELECT len(list_filter(g[2:-2], lambda e: e < p_retailprice)) AS b FROM part, edges),
+      ids AS (SELECT unnest(range(0, 8 * (SELECT count(*) FROM part))) AS id),
       {', '.join(steps)},
-      drawn AS (SELECT e.*, c.b FROM {last} e JOIN {_draw('b', 'p_partkey', 'p_retailprice', 'bins')})
-      SELECT p_partkey, p_brand, p_type, p_size,
-        round(g[b + 1] + (g[b + 2] - g[b + 1]) * {u_sql('p_retailprice/in', 'p_partkey')}, 4) AS p_retailprice
-      FROM drawn, edges"""
+      drawn AS (SELECT e.*, c.b FROM {last} e JOIN {_draw('b', key, 'p_retailprice', 'bins')}),
+      made AS (SELECT {key}, p_brand, p_type, p_size,
+        g[b + 1] + (g[b + 2] - g[b + 1]) * {u_sql('p_retailprice/in', key)} AS p_retailprice FROM drawn, edges)
+      SELECT * REPLACE (round(p_retailprice, 4) AS p_retailprice) FROM made {tail}"""
 
 
 def _sampled(model, spark, d):
@@ -336,7 +337,10 @@ def _(spark, d):
     return model.sample(c.select("c_custkey"), SEED, "c_custkey")
 
 
-@add("syn_rejection")
+@add(
+    "syn_rejection",
+    _marginals("ids", "id", "WHERE p_size > 10 AND made.p_retailprice > 950 ORDER BY id LIMIT (SELECT count(*) FROM part)"),
+)
 def _(spark, d):
     part = table(spark, d, "part")
     rule = con.RowConstraint("p_size > 10 AND p_retailprice > 950", "large")
