@@ -61,7 +61,8 @@ class CrossPolytope:
             loss = np.concatenate([g[:, 1:] for g in gains], 1)
             order = np.argsort(loss, 1, kind="stable")[:, : self.probes]
             per = best[0].shape[1] - 1
-            for k in range(self.probes):
+            out[:, t, 1:] = -1 - t  # where there are fewer axes than probes: a cell without own codes
+            for k in range(order.shape[1]):
                 which, rank = order[:, k] // per, order[:, k] % per + 1
                 axes = [np.where(which == h, best[h][rows, rank], base[h]) for h in range(self.hashes)]
                 out[:, t, 1 + k] = self._join(t, axes, width)

@@ -22,7 +22,7 @@ from .common import salted_left_join
 
 RULES = "2"
 SPAN = "array<struct<kind: string, start: int, end: int>>"
-LEDGER = T.StructType([T.StructField("blob", T.BinaryType()), T.StructField("rules", T.StringType()), T.StructField("spans", T._parse_datatype_string(SPAN))])
+LEDGER = f"blob binary, rules string, spans {SPAN}"
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "jwt", "pem", "github")
 
@@ -51,12 +51,16 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
-@F.pandas_udf(SPAN)
+@F.pandas_udf(
+    T.ArrayType(
+        T.StructType().add("kind", T.StringType()).add("start", T.IntegerType()).add("end", T.IntegerType())
+    )
+)
 def _find_all(text: pd.Series) -> pd.Series:
     return pd.Series([[{"kind": k, "start": a, "end": b} for k, a, b in find(t)] for t in text])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _blob(text: pd.Series) -> pd.Series:
     return pd.Series([hashlib.sha256((t or "").encode("utf-8", "surrogatepass")).digest() for t in text])
 

@@ -84,7 +84,7 @@ def pareto_mix(
     ``size`` is a long column of words and ``weight`` one of whole numbers (absent: all alike); both are taken as 0
     where NULL, and such a document is never taken. Keep the number of different weights bounded. Random numbers
     depend on ``key`` and ``seed`` only, so reruns agree; ties and repeated rows are taken one after the other. A
-    NULL source is a source of its own. No column of ``docs`` may be called source_size, target or copies.
+    NULL source is a source of its own. Columns of ``docs`` called source_size, target or copies are replaced.
     """
     words = F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long")
     heavy = F.lit(1).cast("long") if weight is None else F.greatest(F.coalesce(F.col(weight), F.lit(0)), F.lit(0)).cast("long")
@@ -111,7 +111,7 @@ def pareto_mix(
         odds = (u / (F.lit(1.0) - u)) / (part / (F.lit(1.0) - part))
         rows = rows.withColumn("__whole", F.floor("__mean").cast("long")).withColumn("__q", F.when(part > 0, odds))
         place = F.floor(F.col("__q") / (F.lit(1.0) + F.col("__q")) * BUCKETS)
-        return rows.withColumn("__bucket", F.least(place, F.lit(BUCKETS - 1)).cast("int"))
+        return rows.withColumn("__bucket", F.when(F.col("__q").isNotNull(), F.least(place, F.lit(BUCKETS - 1))).cast("int"))
 
     counted = ranked(slim, "__key")
     needs = counted.groupBy("__source").agg(
@@ -138,4 +138,5 @@ def pareto_mix(
     result = out.withColumns(
         {"target": F.col("__target"), "source_size": F.col("__size"), "copies": F.col("__whole") + F.col("__take").cast("long")}
     )
-    return result.select(*docs.columns, "source_size", "target", "copies")
+    made = ("source_size", "target", "copies")
+    return result.select(*[c for c in docs.columns if c not in made], *made)

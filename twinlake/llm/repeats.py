@@ -184,8 +184,7 @@ def _runs(length: int, gram: int):
             for lo in range(0, len(pdf), 1_000):
                 part = pdf.iloc[lo : lo + 1_000]
                 doc, begin, count, anchors, own, two = [], [], [], [], [], []
-                for k, text in zip(part["doc"], part["text"]):
-                    raw = text.encode("utf-8", "surrogatepass")
+                for k, raw in zip(part["doc"], part["text"]):
                     start, windows, anchor, twice = anchored_runs(np.frombuffer(raw, np.uint8), length, gram)
                     if len(start):
                         doc.append(np.full(len(start), k))
@@ -216,10 +215,9 @@ def _cut_runs(length: int):
     def run(batches):
         for pdf in batches:
             out = []
-            for text, wanted in zip(pdf["text"], pdf["wanted"]):
-                raw = text.encode("utf-8", "surrogatepass")
-                out += [(w["anchor"], w["own"], raw[w["start"] : w["start"] + w["windows"] + length - 1]) for w in wanted]
-            yield pd.DataFrame(out, columns=["anchor", "own", "bytes"])
+            for raw, wanted in zip(pdf["text"], pdf["wanted"]):
+                out += [(w["anchor"], w["own"], w["kinds"], raw[w["start"] : w["start"] + w["windows"] + length - 1]) for w in wanted]
+            yield pd.DataFrame(out, columns=["anchor", "own", "kinds", "bytes"])
 
     return run
 
@@ -251,8 +249,7 @@ def _remove(length: int):
     def run(batches):
         for pdf in batches:
             size, gone, spans, sha = [], [], [], []
-            for text, marks in zip(pdf["text"], pdf["marks"]):
-                raw = text.encode("utf-8", "surrogatepass")
+            for raw, marks in zip(pdf["text"], pdf["marks"]):
                 keep, removed, n_spans, end = [], 0, 0, 0
                 for a, b in sorted((m["at"], m["at"] + m["windows"] + length - 1) for m in ([] if marks is None else marks)):
                     if a > end or not n_spans:
@@ -271,22 +268,16 @@ def _remove(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 128) -> DataFrame:
-    """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256.
+def repeated_windows(texts: DataFrame, length: int, grams: tuple[int, ...], heavy: int) -> DataFrame:
+    """(doc, at, windows) of the windows of ``texts`` (doc: long, text: binary) that start at two places or more.
 
-    Removed is every byte in a ``length``-byte string that starts at two places or more of all texts, the same text
-    included. Texts are UTF-8 bytes, NULL is the empty text, matches never cross texts; a text shorter than
-    ``length`` loses nothing. Rows that repeat a text, with or without its id, count as places of their own, and so
-    lose all of it if it is long enough. Other columns are ignored; an empty table gives no rows.
+    Where more than ``heavy`` different runs share an anchor, they are not indexed together but cut again by the next,
+    longer gram; grams end with ``length`` itself, at which runs with one anchor are equal. So no group grows with
+    the corpus and none is dropped.
     """
-    rows = docs.select(
-        F.col(id_col).alias("__id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        F.xxhash64(F.col(id_col), F.col(text_col)).alias("doc"),
-    )
-    long_rows = rows.where(F.octet_length("text") >= length).select("doc", "text")
+    gram = grams[0]
     runs = materialize(
-        long_rows.mapInPandas(_runs(length, gram), "doc long, start long, windows long, anchor long, twice boolean, own long")
+        texts.mapInPandas(_runs(length, gram), "doc long, start long, windows long, anchor long, twice boolean, own long")
     )
     # equal runs once, with one of their places
     different = runs.groupBy("anchor", "own").agg(
@@ -300,28 +291,56 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     anchors = materialize(anchors.where("places > 1 OR again"))
     live = different.join(anchors, "anchor")
-    # one kind of run at several places: all its windows are repeats, unless it repeats inside itself only
+    # equal runs at several places are repeats from end to end
     whole = live.where("n > 1").select("anchor", "own", F.lit(0).cast("long").alias("at"), F.col("place.windows").alias("windows"))
     asked = live.where("kinds > 1 OR (again AND n = 1)")
     wanted = asked.select(
-        F.col("place.doc").alias("doc"),
-        F.struct("anchor", "own", "place.start", "place.windows").alias("w"),
+        F.col("place.doc").alias("doc"), F.struct("anchor", "own", "kinds", "place.start", "place.windows").alias("w")
     )
     wanted = wanted.groupBy("doc").agg(F.collect_list("w").alias("wanted"))
-    texts = long_rows.join(wanted, "doc")
-    pieces = texts.mapInPandas(_cut_runs(length), "anchor long, own long, bytes binary")
+    pieces = texts.join(wanted, "doc").mapInPandas(_cut_runs(length), "anchor long, own long, kinds long, bytes binary")
     pieces = materialize(pieces.dropDuplicates(["anchor", "own"]))
-    total = pieces.agg(F.sum(F.length("bytes")).alias("b")).first()["b"] or 0
+    busy = pieces.where(F.col("kinds") > heavy) if len(grams) > 1 else pieces.where("false")
+    small = pieces.where(F.col("kinds") <= heavy) if len(grams) > 1 else pieces
+    total = small.agg(F.sum(F.length("bytes")).alias("b")).first()["b"] or 0
     n_shards = max(1, -(-total // SHARD_BYTES))
-    sharded = pieces.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(n_shards)).cast("int"))
+    sharded = small.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(n_shards)).cast("int"))
     found = sharded.groupBy("shard").applyInPandas(_index(length), "anchor long, own long, at long, windows long")
-    marks = whole.unionByName(found.select("anchor", "own", "at", "windows"))
-    marks = materialize(marks.groupBy(F.struct("anchor", "own").alias("run")).agg(F.collect_list(F.struct("at", "windows")).alias("marks")))
-    placed = salted_left_join(runs.select(F.struct("anchor", "own").alias("run"), "doc", "start"), marks, "run", F.col("doc"))
-    placed = placed.where("marks IS NOT NULL").select(
-        "doc", F.expr("explode(transform(marks, m -> struct(start + m.at AS at, m.windows AS windows))) AS m")
+    marks = whole.unionByName(found)
+    if not busy.isEmpty():
+        named = busy.withColumn("doc", F.xxhash64("anchor", "own"))
+        again = repeated_windows(named.select("doc", F.col("bytes").alias("text")), length, grams[1:], heavy)
+        marks = marks.unionByName(again.join(named, "doc").select("anchor", "own", "at", "windows"))
+    marks = marks.groupBy(F.struct("anchor", "own").alias("run")).agg(F.collect_list(F.struct("at", "windows")).alias("marks"))
+    placed = salted_left_join(runs.select(F.struct("anchor", "own").alias("run"), "doc", "start"), materialize(marks), "run", F.col("doc"))
+    return placed.where("marks IS NOT NULL").selectExpr(
+        "doc", "inline(transform(marks, m -> struct(start + m.at AS at, m.windows AS windows)))"
+    )
+
+
+def remove_repeats(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    length: int = 400,
+    grams: tuple[int, ...] = (128, 256, 384, 400),
+    heavy: int = 2_000,
+) -> DataFrame:
+    """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    Removed is every byte in a ``length``-byte string that starts at two places or more of all texts, the same text
+    included. Texts are UTF-8 bytes, NULL is the empty text, matches never cross texts; a text shorter than
+    ``length`` loses nothing. Rows that repeat a text, with or without its id, count as places of their own, and so
+    lose all of it if it is long enough. Other columns are ignored; an empty table gives no rows.
+    """
+    rows = docs.select(
+        F.col(id_col).alias("__id"),
+        F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
+        F.xxhash64(F.col(id_col), F.col(text_col)).alias("doc"),
     )
-    by_doc = placed.groupBy("doc").agg(F.collect_set("m").alias("marks"))
+    long_rows = rows.where(F.length("text") >= length).select("doc", "text")
+    marks = repeated_windows(long_rows, length, grams, heavy)
+    by_doc = marks.groupBy("doc").agg(F.collect_set(F.struct("at", "windows")).alias("marks"))
     out = rows.join(by_doc, "doc", "left").select("__id", "text", "marks")
     schema = f"__id {rows.schema['__id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return out.mapInPandas(_remove(length), schema).withColumnRenamed("__id", id_col)

@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinlake.sources.scratch import materialize
 
@@ -49,7 +50,7 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def fingerprints(text: pd.Series) -> pd.Series:
     return pd.Series([fingerprint(t) for t in text], dtype="uint64").astype("int64")
 
