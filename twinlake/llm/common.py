@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from twinlake.sources.scratch import materialize
 
 SALTS = 16
+SMALL = 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -44,10 +45,15 @@ def with_bit(df: DataFrame, key: Column, bit_table: DataFrame, bits: int, flag:
 
 
 def salted_left_join(rows: DataFrame, facts: DataFrame, key: str, spread: Column) -> DataFrame:
-    """Left join of ``rows`` to ``facts`` (one row per key); the rows of one key go to SALTS tasks."""
+    """Left join of ``rows`` to ``facts`` (a written table, one row per key).
+
+    A table of at most SMALL rows is broadcast; for a longer one, the rows of one key go to SALTS tasks.
+    """
+    if facts.limit(SMALL + 1).count() <= SMALL:
+        return rows.join(F.broadcast(facts), key, "left")
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     copies = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [key, "__salt"], "left").drop("__salt")
+    return salted.join(copies.hint("merge"), [key, "__salt"], "left").drop("__salt")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -76,7 +76,7 @@ def exact_groups(
         .agg(F.max(F.struct("__id", "__row")).alias("__keep"), F.count(F.lit(1)).alias("__n"))
         .where("__n > 1")
     )
-    out = salted_left_join(hashed, groups, "__sha", F.col("__row"))
+    out = salted_left_join(hashed, materialize(groups), "__sha", F.col("__row"))
     alone = F.col("__n").isNull()
     return out.select(
         F.col("__id").alias(id_col),
