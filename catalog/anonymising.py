@@ -143,7 +143,7 @@ ORDERS = """ord AS (SELECT o_orderkey, o_custkey, o_orderdate, c_name, c_nationk
 
 def _pseudonyms(src, col):
     return f"""SELECT v, CAST(5 * (row_number() OVER (ORDER BY md5('{SEED}:pseudonym:' || txt)) - 1) + 1
-        + floor(4 * {u_sql('pseudonym', 'txt')}) AS BIGINT) AS p
+        + floor(4 * {u_sql('pseudonym-gap', 'txt')}) AS BIGINT) AS p
       FROM (SELECT DISTINCT {col} AS v, coalesce(CAST({col} AS VARCHAR), '<null>') AS txt FROM {src})"""
 
 

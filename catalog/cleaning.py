@@ -19,6 +19,7 @@ from twinlake.functions import dates
 from twinlake.functions import generalize as g
 from twinlake.functions.rand import uniform
 from twinlake.operators import aggregate, clean, joins
+from twinlake.plans import examples as ex
 
 family = Family()
 add = family.add
@@ -227,25 +228,20 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", g.generalize_prefix(code).alias("area"))
 
 
-STATE_PREFIXES = {
-    "Burgenland": ["7"],
-    "Tirol": ["60", "61", "62", "63", "64", "65", "66", "99"],
-    "Vorarlberg": ["67", "68", "69"],
-    "Wien": ["1"],
-    "Kärnten": ["90", "91", "92", "93", "94", "95", "96", "97", "98"],
-}
-_RULES = ", ".join(f"('{p}', '{s}')" for s, ps in STATE_PREFIXES.items() for p in ps)
+# postcodes over the whole range
+_POSTCODE = "CAST(1000 + p_partkey * 37 % 9000 AS VARCHAR)"
+_RULES = ", ".join(f"('{p}', '{s}')" for s, ps in ex.STATE_PREFIXES.items() for p in ps)
 
 
 @add(
     "join_prefix",
-    f"""WITH rules(prefix, state) AS (VALUES {_RULES}), c AS (SELECT p_partkey, {_CODE} AS code FROM part)
+    f"""WITH rules(prefix, state) AS (VALUES {_RULES}), c AS (SELECT p_partkey, {_POSTCODE} AS code FROM part)
         SELECT p_partkey, code, state FROM c JOIN rules ON starts_with(code, prefix)""",
 )
 def _(spark, d):
-    code = F.lpad((F.col("p_partkey") % 10000).cast("string"), 4, "0")
+    code = (1000 + F.col("p_partkey") * 37 % 9000).cast("string")
     codes = table(spark, d, "part").select("p_partkey", code.alias("code"))
-    return joins.prefix_join(codes, "code", STATE_PREFIXES, "state")
+    return joins.prefix_join(codes, "code", ex.STATE_PREFIXES, "state")
 
 
 @add(

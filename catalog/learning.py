@@ -91,7 +91,7 @@ def _(spark, d):
 def _utility(model):
     def run(spark, d):
         df = ut.prepare_features(labelled(spark, d), FEATURES, "quality", ["lang", "source", "quality"], ["doc_id"])
-        return rounded(ut.evaluate(model, df, FEATURES, "quality", "doc_id"))
+        return rounded(ut.evaluate(model, df, FEATURES, "quality", "doc_id", categorical=["lang", "source"]))
 
     return run
 
@@ -105,7 +105,7 @@ def _(spark, d):
     o = table(spark, d, "orders")
     feats = ["o_totalprice", "o_orderpriority"]
     df = ut.prepare_features(o, feats, "o_orderstatus", ["o_orderpriority", "o_orderstatus"], ["o_orderkey"])
-    return rounded(ut.evaluate("svm", df, feats, "o_orderstatus", "o_orderkey"))
+    return rounded(ut.evaluate("svm", df, feats, "o_orderstatus", "o_orderkey", categorical=["o_orderpriority"]))
 
 
 @add("ml_utility_report")
@@ -120,6 +120,6 @@ def _(spark, d):
     )
     return rounded(
         ut.utility_report(
-            orig, other, ["quality"], FEATURES, ["lang", "source"], ["doc_id"], models=("tree", "logreg")
+            orig, other, ["quality"], FEATURES, ["lang", "source"], ["doc_id"]
         )
     )

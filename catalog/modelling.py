@@ -339,11 +339,12 @@ def _(spark, d):
 
 @add(
     "syn_rejection",
-    _marginals("ids", "id", "WHERE p_size > 10 AND made.p_retailprice > 950 ORDER BY id LIMIT (SELECT count(*) FROM part)"),
+    _marginals("ids", "id", "WHERE p_size > 10 AND made.p_retailprice > (SELECT (min(p_retailprice) + max(p_retailprice)) / 2 FROM part) ORDER BY id LIMIT (SELECT count(*) FROM part)"),
 )
 def _(spark, d):
     part = table(spark, d, "part")
-    rule = con.RowConstraint("p_size > 10 AND p_retailprice > 950", "large")
+    low, high = part.agg(F.min("p_retailprice"), F.max("p_retailprice")).first()
+    rule = con.RowConstraint(f"p_size > 10 AND p_retailprice > {(low + high) / 2!r}D", "large")
     model = syn.fit(part, _CAT, _NUM, bins=_BINS)
     return rounded(syn.sample_valid(model, spark, model.rows, [rule], SEED), 4)
 

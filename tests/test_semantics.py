@@ -262,7 +262,7 @@ def test_sampled_tuples_were_observed_and_valid(spark):
     few = sample_valid(model, spark, 100, [constraints.RowConstraint("a = 3")], 3)
     assert few.count() == 100 and few.filter("a <> 3").count() == 0
     with pytest.raises(ValueError):
-        sample_valid(model, spark, 10, [constraints.RowConstraint("a = 99")], 3)
+        sample_valid(model, spark, 10, [constraints.RowConstraint("a = 99")], 3, max_draws=20_000)
 
 
 def cases(spark):

@@ -11,6 +11,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinlake.functions.values import value_text
 from twinlake.operators.joins import null_safe
 from twinlake.sources.scratch import materialize
 
@@ -32,8 +33,8 @@ def joint_counts(df: DataFrame, pairs: list[tuple[str, str]], nulls: str = "cate
         F.struct(
             F.lit(a).alias("x"),
             F.lit(b).alias("y"),
-            F.col(f"`{a}`").cast("string").alias("vx"),
-            F.col(f"`{b}`").cast("string").alias("vy"),
+            value_text(df, a).alias("vx"),
+            value_text(df, b).alias("vy"),
         )
         for a, b in pairs
     ]

@@ -68,8 +68,12 @@ def association_rules(itemsets: DataFrame, metric: str = "lift", min_threshold:
 
     An itemset of k items gives 2^k - 2 rules, consequents of any size included.
     """
-    masks = F.sequence(F.lit(1).cast("long"), F.expr("shiftleft(1L, size) - 2"))
-    split = itemsets.filter(F.col("size") >= 2).select("items", "support", F.explode(masks).alias("m"))
+    # a mask of k bits in two halves, so that no array holds 2^k numbers
+    halves = itemsets.filter(F.col("size") >= 2).withColumn("low", F.least(F.col("size"), F.lit(12)))
+    upper = halves.withColumn("hi", F.explode(F.expr("sequence(0L, shiftleft(1L, size - low) - 1)")))
+    both = upper.withColumn("lo", F.explode(F.expr("sequence(0L, shiftleft(1L, low) - 1)")))
+    masks = both.select("items", "size", "support", F.expr("shiftleft(hi, low) | lo").alias("m"))
+    split = masks.filter("m > 0 AND m < shiftleft(1L, size) - 1").select("items", "support", "m")
 
     picked = F.expr("filter(items, (x, k) -> (shiftright(m, k) & 1) = 1)")
     left = F.expr("filter(items, (x, k) -> (shiftright(m, k) & 1) = 0)")

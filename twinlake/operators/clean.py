@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinlake.functions.rand import as_column
 from twinlake.operators.rank import exact_quantiles
@@ -139,12 +140,14 @@ def impute(df: DataFrame, categorical=(), numeric=()) -> DataFrame:
 
 
 def _modes(df: DataFrame, cols: list[str]) -> dict:
-    """Most frequent value per column, from one count of (column, value) pairs."""
+    """Most frequent value per column, from one count of (column, value) pairs; ties go by the column's own order."""
     pairs = df.select(
         F.explode(
             F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])
         ).alias("x")
     ).select("x.*")
     counts = pairs.filter(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("c").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("v"))).alias("b"))
+    ordered = [c for c in cols if isinstance(df.schema[c].dataType, T.NumericType)]
+    rank = F.when(F.col("c").isin(*ordered), F.col("v").try_cast("decimal(38,9)")) if ordered else F.lit(None).cast("int")
+    best = counts.groupBy("c").agg(F.min(F.struct((-F.col("n")).alias("n"), rank.alias("rank"), F.col("v"))).alias("b"))
     return {r["c"]: r["b"]["v"] for r in best.collect()}  # one row per column

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from twinlake.functions.values import value_text
 from twinlake.operators.aggregate import melt
 from twinlake.operators.rank import exact_quantiles
 from twinlake.sources.scratch import materialize
@@ -147,15 +148,11 @@ def boundary_adherence(o: DataFrame, s: DataFrame, cols: list[str]) -> DataFrame
 
 
 def _as_text(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Columns as text; numbers, dates and timestamps as the exact text of their number."""
+    """Columns as text that is equal for equal values; dates and timestamps as the text of their number."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    ranged = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
-    return df.select(
-        *[
-            (as_number(df, c) if isinstance(kinds[c], ranged) else F.col(f"`{c}`")).cast("string").alias(c)
-            for c in cols
-        ]
-    )
+    dated = [c for c in cols if isinstance(kinds[c], (T.DateType, T.TimestampType, T.TimestampNTZType))]
+    numbered = df.withColumns({c: as_number(df, c) for c in dated}) if dated else df
+    return numbered.select(*[value_text(numbered, c).alias(c) for c in cols])
 
 
 def value_profile(o: DataFrame, s: DataFrame, cols: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinlake.functions.values import value_text
 from twinlake.operators.joins import mark_exists
 
 
@@ -15,7 +16,13 @@ def _check_name(cols: list[str]) -> str:
 def pii_leak(o: DataFrame, s: DataFrame, cols) -> DataFrame:
     """``s`` with a flag ``<cols>_in_original``: the value or tuple occurs in the original."""
     cols = [cols] if isinstance(cols, str) else list(cols)
-    return mark_exists(s, o, cols, f"{_check_name(cols)}_in_original")
+    name = f"{_check_name(cols)}_in_original"
+    if all(o.schema[c].dataType == s.schema[c].dataType for c in cols):
+        return mark_exists(s, o, cols, name)
+    # the two files were read with different types: compare the values as text
+    keys = [f"__key_{i}" for i in range(len(cols))]
+    texts = lambda df: {k: value_text(df, c) for k, c in zip(keys, cols)}
+    return mark_exists(s.withColumns(texts(s)), o.withColumns(texts(o)), keys, name).drop(*keys)
 
 
 def _keys(df: DataFrame, checks: list[list[str]], side: str) -> DataFrame:
@@ -23,7 +30,7 @@ def _keys(df: DataFrame, checks: list[list[str]], side: str) -> DataFrame:
     pairs = [
         F.struct(
             F.lit(_check_name(cols)).alias("check"),
-            F.array(*[F.col(f"`{c}`").cast("string") for c in cols]).alias("key"),
+            F.array(*[value_text(df, c) for c in cols]).alias("key"),
         )
         for cols in checks
     ]

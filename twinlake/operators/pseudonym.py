@@ -32,13 +32,13 @@ def pseudonym_map(df: DataFrame, col: str, seed, null_as_value: bool = True) ->
         values = values.filter(F.col("value").isNotNull())
     keyed = values.withColumn("__h", digest(seed, "pseudonym", "value"))
     ranked, _ = global_rank(keyed, "__h", name="__r")
-    step = below(uniform(seed, "pseudonym", "value"), 4)
+    step = below(uniform(seed, "pseudonym-gap", "value"), 4)  # a stream of its own: the rank says nothing about it
     return ranked.select("value", (5 * (F.col("__r") - 1) + 1 + step).alias("pseudonym"))
 
 
 def hash_pseudonym(col, seed) -> Column:
-    """Join-free 60-bit pseudonym, for streams and for keys whose map would be too large."""
-    return F.conv(F.substring(digest(seed, "pseudonym", col), 1, 15), 16, 10).cast("long")
+    """Join-free pseudonym of 128 bits as text, for streams and for keys whose map would be too large."""
+    return digest(seed, "pseudonym", col)
 
 
 def pseudonymize(df: DataFrame, col: str, seed, method: str = "rank", null_as_value: bool = True) -> DataFrame:

@@ -7,6 +7,8 @@ column to the one it shares most information with (Chow and Liu, 1968).
 
 from __future__ import annotations
 
+from functools import reduce
+
 import json
 from dataclasses import asdict, dataclass, field
 
@@ -203,28 +205,23 @@ def _tree(coded: DataFrame, nodes: list[Node]) -> list[Node]:
 
 
 def sample_valid(
-    model: Model, spark: SparkSession, n: int, constraints, seed, key: str = "id", pilot: int = 20_000, rounds: int = 6
+    model: Model, spark: SparkSession, n: int, constraints, seed, key: str = "id", max_draws: int = 100_000_000
 ) -> DataFrame:
     """The first ``n`` sampled rows, by draw number, that fulfil the constraints.
 
-    A pilot of the same draws estimates the acceptance rate, which sets the
-    number of draws; too few valid rows double it, and after ``rounds``
-    attempts it is an error.
+    Draws go on, each round with new draw numbers and as many as the rate so far asks for, until ``n`` rows are
+    valid. Rules that the model cannot fulfil end in an error after ``max_draws`` draws.
     """
-
-    def valid(count: int) -> DataFrame:
-        base = spark.range(count).withColumnRenamed("id", key)
-        return keep_valid(model.sample(base, seed, key), constraints)
-
-    tried = max(min(pilot, n), 1000)
-    rate = valid(tried).count() / tried
-    if rate < 1e-4:
-        raise ValueError(f"only {rate:.2%} of the sampled rows fulfil the constraints")
-    draws = int(n / rate * 1.1) + 1000
-    for _ in range(rounds):
-        got = materialize(valid(draws))
-        if got.count() >= n:
-            ranked, _ = global_rank(got, key, name="__rank")
-            return ranked.filter(F.col("__rank") <= n).drop("__rank")
-        draws *= 2
-    raise ValueError(f"fewer than {n} valid rows after {rounds} rounds")
+    kept, have, drawn, size = [], 0, 0, max(n, 1000)
+    while have < n:
+        if drawn >= max_draws:
+            raise ValueError(f"{have} of {n} rows fulfil the constraints after {drawn} draws")
+        base = spark.range(drawn, min(drawn + size, max_draws)).withColumnRenamed("id", key)
+        kept.append(materialize(keep_valid(model.sample(base, seed, key), constraints)))
+        have += kept[-1].count()
+        drawn = min(drawn + size, max_draws)
+        size = int((n - have) * drawn / have * 1.1) + 1000 if have else 4 * drawn
+    if not kept:
+        return keep_valid(model.sample(spark.range(0).withColumnRenamed("id", key), seed, key), constraints)
+    ranked, _ = global_rank(reduce(DataFrame.unionByName, kept), key, name="__rank")
+    return ranked.filter(F.col("__rank") <= n).drop("__rank")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinlake.functions.rand import uniform
+from twinlake.functions.values import value_text
 from twinlake.operators.rank import global_rank
 from twinlake.sources.scratch import materialize
 
@@ -28,7 +29,7 @@ def ordinal_codes(df: DataFrame, cols: list[str], order: list[str]) -> DataFrame
     ``order`` must be unique per row.
     """
     first = F.struct(*[F.col(c) for c in order]).alias("__o")
-    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]
+    pairs = [F.struct(F.lit(c).alias("column"), value_text(df, c).alias("value")) for c in cols]
     long = df.select(first, F.inline(F.array(*pairs)))
     seen = long.groupBy("column", "value").agg(F.min("__o").alias("__o"))
     ranked, _ = global_rank(seen, "column", "__o", name="__r")
@@ -43,7 +44,7 @@ def apply_codes(df: DataFrame, codes: DataFrame, cols: list[str]) -> DataFrame:
     order = df.columns
     for c in cols:
         mine = codes.filter(F.col("column") == c).select(F.col("value").alias("__v"), F.col("code").alias("__k"))
-        joined = df.join(mine, F.col(c).cast("string").eqNullSafe(F.col("__v")), "left")
+        joined = df.join(mine, value_text(df, c).eqNullSafe(F.col("__v")), "left")
         df = joined.withColumn(c, F.col("__k")).drop("__v", "__k")
     return df.select(*order)
 
@@ -85,17 +86,18 @@ def split(df: DataFrame, key, share: float = 0.3, seed=1) -> tuple[DataFrame, Da
     return df.filter(~flagged), df.filter(flagged)
 
 
-def classifier(name: str, classes: int, max_codes: int, rows: int, seed: int = 1):
+def classifier(name: str, classes: int, max_codes: int, rows: int, seed: int = 1, bins: int = 32, svm_iterations: int = 1000):
+    """``bins`` is the number of split candidates of a numeric feature; categorical codes raise it to their number."""
     # a penalty of 1/rows is the unit-strength penalty on the summed loss
     penalty = 1.0 / max(rows, 1)
     if name == "tree":
-        return DecisionTreeClassifier(impurity="entropy", maxDepth=3, maxBins=max(32, max_codes), seed=seed)
+        return DecisionTreeClassifier(impurity="entropy", maxDepth=3, maxBins=max(bins, max_codes), seed=seed)
     if name == "forest":
-        return RandomForestClassifier(numTrees=100, maxBins=max(32, max_codes), seed=seed)
+        return RandomForestClassifier(numTrees=100, maxBins=max(bins, max_codes), seed=seed)
     if name == "logreg":
         return LogisticRegression(maxIter=1000, regParam=penalty)
     if name == "svm":
-        svm = LinearSVC(maxIter=50, regParam=penalty, tol=1e-4)
+        svm = LinearSVC(maxIter=svm_iterations, regParam=penalty, tol=1e-4)
         return svm if classes <= 2 else OneVsRest(classifier=svm)
     raise ValueError(f"unknown model {name!r}")
 
@@ -129,9 +131,16 @@ def classification_scores(pred: DataFrame, label: str = "label", prediction: str
 
 
 def evaluate(
-    model: str, prepared: DataFrame, features: list[str], target: str, key, seed: int = 1, share: float = 0.3
+    model: str,
+    prepared: DataFrame,
+    features: list[str],
+    target: str,
+    key,
+    seed: int = 1,
+    share: float = 0.3,
+    categorical: list[str] | None = None,
 ) -> DataFrame:
-    """Train on 70 %, score on the rest; ``target`` holds codes 1..n."""
+    """Train on 70 %, score on the rest; ``target`` and the ``categorical`` features hold codes 1..n."""
     spark = prepared.sparkSession
     rows = VectorAssembler(inputCols=features, outputCol="features").transform(
         prepared.withColumn("label", F.col(target).cast("double") - 1)
@@ -144,8 +153,10 @@ def evaluate(
         seen = train.agg(F.count_distinct("label"), F.max("label"), F.count(F.lit(1))).first()
         if seen[0] < 2:
             return spark.createDataFrame([(None, None, None)], "rows bigint, accuracy double, f1 double")
-        codes = prepared.agg(*[F.max(F.col(c).cast("double")) for c in features]).first()
-        widest = int(min(1024, max([c or 0 for c in codes]) + 1))
+        coded = [c for c in categorical or [] if c in features]
+        widest = 0
+        if coded:
+            widest = int(max(c or 0 for c in prepared.agg(*[F.max(F.col(c)) for c in coded]).first())) + 1
         fitted = classifier(model, int(seen[1]) + 1, widest, seen[2], seed).fit(train)
     finally:
         train.unpersist()
@@ -180,7 +191,7 @@ def utility_report(
             use = codes if side == "original" or share_codes else None
             prepared = materialize(prepare_features(df, feats, target, mine, order, target_values, use))
             for model in models:
-                scores = evaluate(model, prepared, feats, target, order, seed)
+                scores = evaluate(model, prepared, feats, target, order, seed, categorical=mine)
                 parts.append(
                     scores.select(
                         F.lit(target).alias("target"),

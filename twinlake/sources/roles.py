@@ -97,7 +97,7 @@ def check_roles(df: DataFrame, roles: Roles) -> DataFrame:
     for c in roles.columns:
         text = F.col(f"`{c}`").cast("string")
         if c in roles.continuous:
-            ok = F.regexp_replace(text, ",", ".").try_cast("double").isNotNull()
+            ok = F.regexp_replace(text, ",", ".").rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
         elif c in roles.boolean:
             ok = text.try_cast("boolean").isNotNull()
         elif c in roles.formats:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from twinlake.operators.clean import select_rename
 
 CANDIDATES = (";", ",", "\t", "|")
-_HEAD_LINES = 2000
+_WHOLE, _REAL = r"^[+-]?\d+$", r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def dataset_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,7 +21,10 @@ def dataset_files(spark: SparkSession, folder: str) -> DataFrame:
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
     )
-    inside = F.substring_index("path", "/" + root.rsplit("/", 1)[-1] + "/", -1)
+    # file paths are absolute URIs: what follows the listed folder is the entry
+    rooted = F.regexp_extract("path", "^(.*?" + re.escape("/" + root.split(":", 1)[-1].strip("/") + "/") + ")", 1)
+    inside = F.expr("substring(path, length(rooted) + 1)")
+    files = files.withColumn("rooted", rooted)
     entry = F.element_at(F.split(inside, "/"), 1)
     found = files.select(entry.alias("dataset")).filter(F.col("dataset").endswith(".csv")).distinct()
     return found.select(
@@ -29,39 +33,45 @@ def dataset_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _quoted_counts(line: str) -> dict[str, int]:
-    """How often each candidate occurs outside quotes."""
-    return {c: sum(part.count(c) for part in line.split('"')[::2]) for c in CANDIDATES}
+def sniff(spark: SparkSession, paths: dict[str, str]) -> dict[str, dict]:
+    """Per name: ``sep`` (None if it cannot be told), ``encoding`` and ``multiline``; two aggregates over all lines of all files.
 
-
-def detect_delimiter(spark: SparkSession, path: str, n: int = 9000) -> str:
-    """The candidate whose count agrees on most lines among the first ``n`` characters.
-
-    Spark stops reading once it has the first lines, so the cost does not grow with the file.
+    The separator is the candidate whose count outside quotes agrees on most lines. The encoding is UTF-8 when every
+    line is valid, else ISO-8859-1. A line with an odd number of quotes means that fields run over several lines.
     """
-    lines = [r[0] for r in spark.read.text(path).select(F.substring("value", 1, n)).head(_HEAD_LINES)]
-    head, used = [], 0
-    for line in lines:
-        if used >= n:
-            break
-        used += len(line) + 1
-        if line.strip():
-            head.append(_quoted_counts(line))
-    scores = {}
-    for c in CANDIDATES:
-        counts = Counter(h[c] for h in head if h[c] > 0)
-        scores[c] = max(counts.values(), default=0)
-    best = max(scores.values())
-    winners = [c for c, s in scores.items() if s == best]
-    if best == 0 or len(winners) > 1:
+    lines = reduce(
+        DataFrame.unionByName,
+        [spark.read.text(path).select(F.lit(name).alias("name"), "value") for name, path in paths.items()],
+    )
+    bare = F.regexp_replace(F.regexp_replace("value", '"[^"]*"', ""), '".*$', "")
+    counts = F.array(
+        *[F.struct(F.lit(c).alias("sep"), (F.length("bare") - F.length(F.replace("bare", F.lit(c)))).alias("k")) for c in CANDIDATES]
+    )
+    seen = lines.select("name", bare.alias("bare")).select("name", F.inline(counts)).where("k > 0")
+    votes = seen.groupBy("name", "sep", "k").agg(F.count(F.lit(1)).alias("n")).groupBy("name", "sep").agg(F.max("n").alias("n"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    facts = lines.groupBy("name").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("valid"), F.bool_or(quotes % 2 == 1).alias("open")
+    )
+    out = {name: {"sep": None, "encoding": "UTF-8", "multiline": False} for name in paths}
+    for r in facts.collect():  # one row per file
+        out[r["name"]] |= {"encoding": "UTF-8" if r["valid"] else "ISO-8859-1", "multiline": r["open"]}
+    best: dict[str, list] = {}
+    for r in votes.collect():  # one row per file and candidate
+        best.setdefault(r["name"], []).append((r["n"], r["sep"]))
+    for name, found in best.items():
+        most = max(n for n, _ in found)
+        winners = [c for n, c in found if n == most]
+        out[name]["sep"] = winners[0] if len(winners) == 1 else None
+    return out
+
+
+def detect_delimiter(spark: SparkSession, path: str) -> str:
+    """The candidate whose count agrees on most lines of the file."""
+    found = sniff(spark, {"": path})[""]["sep"]
+    if found is None:
         raise ValueError(f"cannot tell the delimiter of {path}; pass sep")
-    return winners[0]
-
-
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 when every line of every file is valid, else ISO-8859-1; one pass over the bytes."""
-    valid = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value"))).first()[0]
-    return "UTF-8" if valid in (True, None) else "ISO-8859-1"
+    return found
 
 
 def _number(c, decimal: str):
@@ -75,8 +85,9 @@ def infer_types(df: DataFrame, decimal: str = ",") -> T.StructType:
         c = F.col(f"`{name}`")
         filled = c.isNotNull()
         tests += [
-            F.bool_and(F.when(filled, c.try_cast("bigint").isNotNull())).alias(f"l{i}"),
-            F.bool_and(F.when(filled, _number(c, decimal).try_cast("double").isNotNull())).alias(f"d{i}"),
+            # patterns, since a cast also takes suffixes: 1d is a code, not a number
+            F.bool_and(F.when(filled, c.rlike(_WHOLE) & c.try_cast("bigint").isNotNull())).alias(f"l{i}"),
+            F.bool_and(F.when(filled, _number(c, decimal).rlike(_REAL))).alias(f"d{i}"),
             F.bool_and(F.when(filled, c.isin("True", "False", "true", "false"))).alias(f"b{i}"),
         ]
     row = df.agg(*tests).first()
@@ -118,11 +129,19 @@ def read_csv(
     columns: list | None = None,
     names: list[str] | None = None,
     formats: dict[str, str] | None = None,
+    known: dict | None = None,
 ) -> DataFrame:
-    """A CSV file with a header. What is not given (separator, encoding, types) is found out first."""
-    sep = sep or detect_delimiter(spark, path)
-    encoding = encoding or detect_encoding(spark, path)
-    text = spark.read.options(sep=sep, header=True, encoding=encoding, quote='"', escape='"').csv(path)
+    """A CSV file with a header. What is not given (separator, encoding, types) is found out first.
+
+    Quoted fields may hold line breaks; a file that has some is read whole by one task per part file. ``known`` is
+    what ``sniff`` said of the file.
+    """
+    known = known or sniff(spark, {"": path})[""]
+    sep = sep or known["sep"]
+    if sep is None:
+        raise ValueError(f"cannot tell the delimiter of {path}; pass sep")
+    how = {"sep": sep, "encoding": encoding or known["encoding"], "multiLine": known["multiline"]}
+    text = spark.read.options(header=True, quote='"', escape='"', **how).csv(path)
     if columns is not None:
         picked = [text.columns[c] if isinstance(c, int) else c for c in columns]
         text = select_rename(text, picked, names or picked)
@@ -134,7 +153,9 @@ def read_folder(spark: SparkSession, folder: str, **options) -> dict[str, DataFr
     found = dataset_files(spark, folder).orderBy("dataset").collect()  # one row per dataset
     if not found:
         raise FileNotFoundError(f"no csv files in {folder}")
-    return {r["dataset"]: read_csv(spark, r["path"], **options) for r in found}
+    paths = {r["dataset"]: r["path"] for r in found}
+    known = sniff(spark, paths)
+    return {name: read_csv(spark, path, known=known[name], **options) for name, path in paths.items()}
 
 
 def write_csv(df: DataFrame, path: str, decimal: str = ",", sep: str = ";", bom: bool = True, mode: str = "errorifexists") -> None:
@@ -145,7 +166,9 @@ def write_csv(df: DataFrame, path: str, decimal: str = ",", sep: str = ";", bom:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)) and decimal != ".":
             c = F.regexp_replace(c.cast("string"), r"\.", decimal)
         out.append(c.alias(("\ufeff" if bom and i == 0 else "") + f.name))
-    df.select(*out).write.mode(mode).options(sep=sep, header=True, encoding="UTF-8", quote='"', escape='"').csv(path)
+    df.select(*out).write.mode(mode).options(
+        sep=sep, header=True, encoding="UTF-8", quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
 
 
 def pair_datasets(spark: SparkSession, originals: str, synthetics: str) -> DataFrame:
