@@ -151,6 +151,12 @@ def test_exact_groups(spark, bits):
         assert (r.keep_id != r.keep_id) if key is None else r.keep_id == max(same)
     assert out.kept.sum() == len(set(lower.values()))
     assert refine.exact_groups(docs(spark, [])).count() == 0
+    lazy = refine.exact_groups(docs(spark, ODD), bits=bits, carry=("target",)).toPandas()
+    # only texts that share length and prefix with another are read in full
+    heads = [(len((t or "").encode()), (t or "")[:64].translate(str.maketrans(refine.UPPER, refine.LOWER))) for _, t in ODD]
+    assert lazy.text_sha256.isna().sum() == sum(heads.count(h) == 1 for h in heads) or bits == 6
+    columns = ["doc_id", "keep_id", "group_size", "kept"]
+    assert lazy[columns].value_counts(dropna=False).equals(out[columns].value_counts(dropna=False))
 
 
 # 5: repeats

@@ -25,7 +25,7 @@ def _digests(batches):
     for batch in batches:
         names = batch.schema.names
         text = pc.ascii_lower(batch.column(names.index("__text")))
-        sha = pa.array([None if t is None else hashlib.sha256(t.as_buffer()).digest() for t in text], pa.binary())
+        sha = pa.array([hashlib.sha256(t.as_buffer()).digest() if t.is_valid else None for t in text], pa.binary())
         rest = [n for n in names if n != "__text"]
         yield pa.RecordBatch.from_arrays([batch.column(n) for n in rest] + [sha], names=[*rest, "__sha"])
 
