@@ -78,7 +78,7 @@ def _count(batches):
             for text in texts:
                 held.append(grams(fold(text)))
                 size += len(held[-1])
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield _tally(lang, held)
                     held, size = [], 0
             if held:
@@ -189,7 +189,7 @@ class LanguageModel:
         )
 
 
-def _portions(texts, most: int = 4_000_000):
+def _portions(texts, most: int = 1_500_000):
     a, parts, letters, size = 0, [], [], 0
     for k, text in enumerate(texts):
         codes = fold(text)

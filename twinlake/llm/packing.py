@@ -22,9 +22,9 @@ from twinlake.sources.scratch import materialize
 
 from .workers import kept
 
-KEPT_PIECES = 400_000
+KEPT_PIECES = 200_000
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 8 << 20
 
 
 class WordIds:
