@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from twinlake.sources.scratch import materialize
 
-from .workers import kept
+from .workers import give_back, kept
 
 ORDER = 4
 BLANK = 32
@@ -83,6 +83,7 @@ def _count(batches):
                     held, size = [], 0
             if held:
                 yield _tally(lang, held)
+        give_back()
 
 
 def _tally(lang: str, held: list[np.ndarray]) -> pd.DataFrame:
@@ -167,6 +168,7 @@ class LanguageModel:
                 cost = -np.log2(model.prob(uniques.view(np.uint64)))
                 bits[a:b, k] = np.add.reduceat(cost[codes], cuts) / sizes
             letters[a:b] = folded
+        give_back()
         return bits, letters
 
     def predict(self, texts) -> pd.DataFrame:

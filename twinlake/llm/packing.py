@@ -20,11 +20,11 @@ from pyspark.sql import types as T
 
 from twinlake.sources.scratch import materialize
 
-from .workers import kept
+from .workers import give_back, kept
 
-KEPT_PIECES = 200_000
+KEPT_PIECES = 150_000
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 class WordIds:
@@ -130,7 +130,7 @@ def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
 
 
 def word_ids(path: str) -> WordIds:
-    """The worker's own encoder: Python workers live longer than tasks, so words are remembered across tasks."""
+    """The worker's own encoder: Python workers live longer than tasks, so the vocabulary is read once."""
     cache = kept()
     if path not in cache:
         cache[path] = WordIds(path)
@@ -176,6 +176,10 @@ def _tokenize(vocabulary: str, end_id: int):
                     ],
                     names=[*rest, "__part", "__local", "__tokens", "__ids"],
                 )
+                del text, ids, raw, blobs
+                give_back()
+        words.clear()
+        give_back()
 
     return run
 

@@ -24,6 +24,7 @@ from twinlake.sources.scratch import materialize
 
 from .blocks import meeting_pairs, shards, spanning, units
 from .common import components, salted_left_join
+from .workers import give_back
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1].astype(np.int64)
@@ -52,7 +53,9 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
 
 @F.pandas_udf(T.LongType())
 def fingerprints(text: pd.Series) -> pd.Series:
-    return pd.Series([fingerprint(t) for t in text], dtype="uint64").astype("int64")
+    prints = pd.Series([fingerprint(t) for t in text], dtype="uint64").astype("int64")
+    give_back()
+    return prints
 
 
 def popcounts(fp: np.ndarray) -> np.ndarray:

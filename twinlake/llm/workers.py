@@ -1,7 +1,8 @@
-"""What a Python worker keeps between tasks."""
+"""What a Python worker keeps between tasks, and what it gives back."""
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 
@@ -9,3 +10,13 @@ import types
 def kept() -> dict:
     """A dictionary that lives as long as the worker process; for tables and caches that any task can rebuild."""
     return sys.modules.setdefault("_twinlake_llm_kept", types.ModuleType("_twinlake_llm_kept")).__dict__
+
+
+def give_back() -> None:
+    """Return freed memory to the system: idle workers stay alive beside the next stage's."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
