@@ -22,6 +22,7 @@ from twinlake.sources.scratch import materialize
 
 from .blocks import meeting_pairs, shards, spanning, units
 from .common import components, salted_left_join
+from .workers import give_back
 
 
 @dataclass(frozen=True)
@@ -150,6 +151,7 @@ def verifier(lsh: CrossPolytope, least: float):
                 x, y = spanning(ids[a], ids[b])
                 edges_a.append(x)
                 edges_b.append(y)
+        give_back()
         if not nodes:
             return pd.DataFrame({"id": [], "links": [], "other": []}).astype("int64")
         own = pd.DataFrame({"id": np.concatenate(nodes), "links": np.concatenate(counts)}).groupby("id", as_index=False)["links"].sum()
@@ -194,7 +196,7 @@ def near_vectors(
     )
     classes = materialize(classes)
     n = classes.count()
-    met = shards(units(hashed(classes, lsh), 512), n * lsh.tables * (1 + lsh.probes), 150_000)
+    met = shards(units(hashed(classes, lsh), 512), n * lsh.tables * (1 + lsh.probes), 60_000)
     found = materialize(met.groupBy("shard").applyInPandas(verifier(lsh, least), "id long, links long, other long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")))

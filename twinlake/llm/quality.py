@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .workers import give_back
+
 PASSAGE = 400
 CLASSES = 12
 N_FEATURES = 128 + CLASSES * CLASSES + 3
@@ -74,6 +76,19 @@ def encode(texts) -> tuple[np.ndarray, np.ndarray]:
     return x.astype(np.float32), counts
 
 
+def portions(texts, most: int = 500_000):
+    """(index of the first, texts) in parts of about ``most`` characters."""
+    held, size, first = [], 0, 0
+    for k, t in enumerate(texts):
+        held.append(t)
+        size += len(t or "") + 50
+        if size > most:
+            yield first, held
+            held, size, first = [], 0, k + 1
+    if held:
+        yield first, held
+
+
 @dataclass
 class AttentionModel:
     """Gated attention: a = softmax(w . (tanh(V h) * sigmoid(U h))), score = sigmoid(c . sum(a h) + b)."""
@@ -96,20 +111,17 @@ class AttentionModel:
         return x, h, t, g, a, z, s, starts
 
     def score(self, texts) -> np.ndarray:
-        out, held, size, first = np.zeros(len(texts)), [], 0, 0
-        for k, t in enumerate(texts):
-            held.append(t)
-            size += len(t or "") + 50
-            if size > 500_000 or k == len(texts) - 1:
-                x, counts = encode(held)
-                out[first : k + 1] = self.forward(x, counts)[6]
-                held, size, first = [], 0, k + 1
+        out = np.zeros(len(texts))
+        for first, part in portions(texts):
+            out[first : first + len(part)] = self.forward(*encode(part))[6]
+        give_back()
         return out
 
 
 def train(texts, labels, hidden: int = 32, gate: int = 16, epochs: int = 40, batch: int = 128, seed: int = 7) -> AttentionModel:
     """Adam on the log loss of document labels, both classes weighted alike; the same input gives the same model."""
-    x, counts = encode(texts)
+    parts = [encode(part) for _, part in portions(texts)]
+    x, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     y = np.asarray(labels, np.float32)
     starts = np.cumsum(counts) - counts
     rng = np.random.default_rng(seed)

@@ -77,13 +77,14 @@ def _near(pdf: pd.DataFrame) -> pd.DataFrame:
     counts = popcounts(fp)
     found_a, found_b = [], []
     columns = [pdf[c].to_numpy() for c in ("cell", "lo", "hi", "own", "id", "probe")]
-    for i, j in meeting_pairs(*columns):
+    for i, j in meeting_pairs(*columns, most=200_000):
         close = manhattan(counts[i], counts[j]) <= 3
         i, j = i[close], j[close]
         ok = np.bitwise_count(fp[i] ^ fp[j]) <= 3
         a, b = spanning(pdf["id"].to_numpy()[i[ok]], pdf["id"].to_numpy()[j[ok]])
         found_a.append(a)
         found_b.append(b)
+    give_back()
     if not found_a:
         return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
     a, b = spanning(np.concatenate(found_a), np.concatenate(found_b))
@@ -121,7 +122,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     smallest = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row")))
     prints = materialize(rows.groupBy(F.col("__fp").alias("id")).agg(smallest.alias("first")))
     cells = grid(prints.select("id"))
-    near = shards(units(cells), 30 * prints.count(), 400_000).groupBy("shard").applyInPandas(_near, "a long, b long")
+    near = shards(units(cells), 30 * prints.count(), 100_000).groupBy("shard").applyInPandas(_near, "a long, b long")
     roots = components(near)
     known = prints.join(roots, F.col("id") == F.col("node"), "left").select(
         F.col("id").alias("__fp"), F.coalesce("root", "id").alias("__root"), "first"
