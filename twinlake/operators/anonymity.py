@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlake.operators.joins import attach
-from twinlake.operators.rank import global_cumulative
+from twinlake.operators.rank import carried_forward, global_cumulative
 from twinlake.sources.scratch import materialize
 
 # Up to this many ordered levels the distance is summed over a literal-size array.
 DENSE_LEVELS = 1000
+# A share of more runs than this is looked up in a table of its own.
+HOT_SHARE = 100_000
 
 
 def class_sizes(df: DataFrame, qi: list[str], name: str = "size") -> DataFrame:
@@ -169,47 +171,36 @@ def _run_distance(runs: DataFrame, whole: DataFrame, m: int, total: int) -> Data
     """Sum of |c - Q(j)| over each run of levels, from prefix sums instead of a grid.
 
     Q only grows, so the run splits where Q passes c. That place is found by an
-    as-of lookup of c among the cumulative shares, in buckets of equal share.
+    as-of lookup of c among the cumulative shares, both in ranges of rows. The last
+    run of a class ends at c = 1, which is the last level. Shares that many runs have
+    are few and joined first; those runs then take part in the join of the rest
+    under keys of their own, which match nothing.
     """
-    buckets = max(4096, min(1_000_000, m // 100_000))
     one = float(total)
     share = whole.select((F.col("__cum") / one).alias("__u"), F.col("__rank").alias("__k"), F.col("__cum_cum").alias("__kk"))
-    looked_up = runs.select(F.col("__c").alias("__u")).distinct()
+    looked_up = runs.filter("__c < 1").groupBy(F.col("__c").alias("__u")).agg(F.count(F.lit(1)).alias("__times"))
     empty_k = F.lit(None).cast("long").alias("__k"), F.lit(None).cast("double").alias("__kk")
-    both = share.withColumn("__probe", F.lit(0)).unionByName(
-        looked_up.select("__u", *empty_k).withColumn("__probe", F.lit(1))
-    ).withColumn("__b", F.floor(F.col("__u") * buckets))
-    # last level before each bucket: at most one row per bucket
-    tops = share.groupBy(F.floor(F.col("__u") * buckets).alias("__b")).agg(
-        F.max("__k").alias("__k"), F.max("__kk").alias("__kk")
-    ).collect()
-    carry, last = [], (0, 0.0)
-    by_bucket = {r["__b"]: (r["__k"], r["__kk"]) for r in tops}
-    for b in range(buckets + 1):
-        carry.append((b, *last))
-        last = by_bucket.get(b, last)
-    start = both.sparkSession.createDataFrame(carry, "__b long, __k0 long, __kk0 double")
-    w = Window.partitionBy("__b").orderBy("__u", "__probe").rowsBetween(Window.unboundedPreceding, 0)
-    split = (
-        both.withColumn("__k", F.last("__k", True).over(w))
-        .withColumn("__kk", F.last("__kk", True).over(w))
-        .filter("__probe = 1")
-        .join(F.broadcast(start), "__b")  # buckets + 1 rows
-        .select(
-            F.col("__u").alias("__c"),
-            F.coalesce("__k", "__k0").alias("__k"),
-            F.coalesce("__kk", "__kk0").alias("__kk"),
-        )
-    )
+    both = share.withColumn("__times", F.lit(None).cast("long")).unionByName(looked_up.select("__u", *empty_k, "__times"))
+    # of a level and a lookup at the same share the level comes first: NULLs sort first
+    filled = carried_forward(both, ["__u", "__times"], ["__k", "__kk"]).filter("__times IS NOT NULL")
+    split = materialize(filled)
+    hot = split.filter(F.col("__times") > HOT_SHARE)
+    hot = materialize(hot.select(F.col("__u").alias("__h"), F.col("__k").alias("__hot_k"), F.col("__kk").alias("__hot_kk")))
+    marked = runs.join(hot, F.col("__c") == F.col("__h"), "left")
+    last, known = F.col("__c") >= 1, F.col("__h").isNotNull()
+    own_key = F.when(last | known, -F.col("__g").cast("double")).otherwise(F.col("__c"))
+    placed = marked.withColumn("__key", own_key).join(split, F.col("__key") == F.col("__u"), "left")
     lo, hi = F.col("__rank"), F.coalesce(F.col("__next") - 1, F.lit(m))
     lo_sum = F.col("__cum_cum") - F.col("__cum")  # prefix sum before the run
     end = whole.agg(F.max("__cum_cum").alias("s")).scalar()
     hi_sum = F.coalesce(F.col("__next_cum_cum") - F.col("__next_cum"), end)
-    mid = F.greatest(lo - 1, F.least(hi, F.col("__k")))
-    mid_sum = F.when(F.col("__k") < lo, lo_sum).when(F.col("__k") > hi, hi_sum).otherwise(F.col("__kk"))
+    k = F.when(last, F.lit(m)).otherwise(F.coalesce("__hot_k", "__k"))
+    kk = F.when(last, end).otherwise(F.coalesce("__hot_kk", "__kk"))
+    mid = F.greatest(lo - 1, F.least(hi, k))
+    mid_sum = F.when(k < lo, lo_sum).when(k > hi, hi_sum).otherwise(kk)
     below_c = F.col("__c") * (mid - lo + 1) - (mid_sum - lo_sum) / one
     above_c = (hi_sum - mid_sum) / one - F.col("__c") * (hi - mid)
-    return runs.join(split, "__c").withColumn("__part", below_c + above_c)
+    return placed.withColumn("__part", below_c + above_c)
 
 
 def t_closeness(df: DataFrame, qi: list[str], sa: dict[str, str]) -> DataFrame:

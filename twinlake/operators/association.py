@@ -15,6 +15,9 @@ from twinlake.functions.values import value_text
 from twinlake.operators.joins import null_safe
 from twinlake.sources.scratch import materialize
 
+SALTS = 16
+FEW_TOTALS = 10_000
+
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson correlation of every pair, from a single aggregate: ``x, y, value``."""
@@ -45,13 +48,20 @@ def joint_counts(df: DataFrame, pairs: list[tuple[str, str]], nulls: str = "cate
 
 
 def _with_marginals(cells: DataFrame) -> DataFrame:
-    """Add the row total ``r`` and column total ``c`` to each cell."""
-    rows = cells.groupBy("x", "y", "vx").agg(F.sum("n").alias("r"))
-    cols = cells.groupBy("x", "y", "vy").agg(F.sum("n").alias("c"))
-    for side, v in ((rows, "vx"), (cols, "vy")):
-        side = side.select(F.col("x").alias("__x"), F.col("y").alias("__y"), F.col(v).alias("__v"), side.columns[-1])
-        on = null_safe(cells, side, [("x", "__x"), ("y", "__y"), (v, "__v")])
-        cells = cells.join(side, on).drop("__x", "__y", "__v")
+    """Add the row total ``r`` and column total ``c`` to each cell.
+
+    The totals are written, so Spark broadcasts them where they are small. Where
+    there are many, the cells of one value are dealt to SALTS tasks.
+    """
+    for v, other, total in (("vx", "vy", "r"), ("vy", "vx", "c")):
+        side = cells.groupBy(F.col("x").alias("__x"), F.col("y").alias("__y"), F.col(v).alias("__v"))
+        side = materialize(side.agg(F.sum("n").alias(total)))
+        keys = [("x", "__x"), ("y", "__y"), (v, "__v")]
+        if side.count() > FEW_TOTALS:
+            side = side.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            cells = cells.withColumn("__salt", F.pmod(F.hash(other), F.lit(SALTS)))
+            keys.append(("__salt", "__s"))
+        cells = cells.join(side, null_safe(cells, side, keys)).drop("__x", "__y", "__v", "__s", "__salt")
     return cells
 
 

@@ -9,8 +9,6 @@ from twinlake.functions.rand import as_column
 from twinlake.sources.scratch import materialize
 
 _PID, _POS = "__pid", "__pos"
-# Groups times partitions whose sizes the driver looks at when it picks quantile positions.
-MAX_TARGETS = 1_000_000
 
 
 def range_sorted(df: DataFrame, *order) -> DataFrame:
@@ -85,6 +83,26 @@ def global_cumulative(df: DataFrame, order, weight: str) -> tuple[DataFrame, int
     return out.drop(_PID, _POS), rows, weight_sum
 
 
+def carried_forward(df: DataFrame, order: list, cols: list[str]) -> DataFrame:
+    """Fill the NULLs of ``cols`` with the last value before them by ``order``, or 0.
+
+    The columns are numbers that never fall along ``order``. Partitions are ranges
+    of rows, so their sizes do not depend on how the values are spread.
+    """
+    placed = range_sorted(df, *order)
+    tops = placed.groupBy(_PID).agg(*[F.max(c).alias(c) for c in cols]).collect()  # one row per partition
+    w = Window.partitionBy(_PID).orderBy(_POS).rowsBetween(Window.unboundedPreceding, 0)
+    filled = {}
+    for c in cols:
+        before, run = {}, 0
+        for r in sorted(tops, key=lambda r: r[_PID]):
+            before[r[_PID]] = run
+            run = run if r[c] is None else r[c]
+        kind = df.schema[c].dataType.simpleString()
+        filled[c] = F.coalesce(F.last(c, True).over(w), _by_partition(before, kind))
+    return placed.withColumns(filled).drop(_PID, _POS)
+
+
 def exact_quantiles(
     df: DataFrame, by: list[str], value: str, probs: list[float], weight: str | None = None
 ) -> DataFrame:
@@ -92,8 +110,7 @@ def exact_quantiles(
 
     Values are counted first, so repeated values shrink before the shuffle, then
     range-partitioned. Only the partitions that hold a wanted position are read
-    again. ``by`` should have few values (columns, sides); NULL values are skipped.
-    With ``weight`` the rows are already counted, one per group and value.
+    again. NULL values and groups are skipped. With ``weight`` the rows are already counted, one per group and value.
     """
     known = df.filter(F.col(value).isNotNull())
     if weight is None:
@@ -101,34 +118,30 @@ def exact_quantiles(
     else:
         counts = known.select(*by, value, F.col(weight).alias("__n"))
     placed = range_sorted(counts, *by, value)
-    sums = placed.groupBy(*by, _PID).agg(F.sum("__n").alias("__n")).collect()
-    spark = df.sparkSession
-    if len(sums) > MAX_TARGETS:
-        raise ValueError("quantiles per group are for few groups: columns or sides")
-    groups: dict[tuple, list] = {}
-    for r in sums:
-        groups.setdefault(tuple(r[c] for c in by), []).append((r[_PID], r["__n"]))
-    wanted = []
-    for g, parts in groups.items():
-        total = sum(n for _, n in parts)
-        for prob in probs:
-            spot = (total - 1) * prob
-            for pos in {int(spot), min(int(spot) + 1, total - 1)}:
-                share = 1 - abs(spot - pos)
-                run = 0
-                for pid, n in sorted(parts):
-                    if run <= pos < run + n:
-                        wanted.append((*g, pid, pos - run, float(prob), float(share)))
-                        break
-                    run += n
-    schema = placed.select(*by, _PID).schema.add("__at", "long").add("prob", "double").add("__share", "double")
-    targets = spark.createDataFrame(wanted, schema)
+    # a group has at most one row per partition
+    in_order = Window.partitionBy(*by).orderBy(_PID).rowsBetween(Window.unboundedPreceding, 0)
+    sums = placed.groupBy(*by, _PID).agg(F.sum("__n").alias("__n"))
+    parts = sums.withColumns(
+        {"__end": F.sum("__n").over(in_order), "__total": F.sum("__n").over(Window.partitionBy(*by))}
+    ).withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+    spot = (F.col("__total") - 1) * F.col("prob")
+    ends = F.array(F.floor(spot), F.least(F.floor(spot) + 1, F.col("__total") - 1))
+    targets = materialize(
+        parts.withColumn("__spot", F.explode(F.array_distinct(ends)))
+        .filter((F.col("__spot") < F.col("__end")) & (F.col("__spot") >= F.col("__end") - F.col("__n")))
+        .select(
+            *by,
+            _PID,
+            (F.col("__spot") - F.col("__end") + F.col("__n")).alias("__at"),
+            "prob",
+            (1 - F.abs(spot - F.col("__spot"))).alias("__share"),
+        )
+    )
     w = Window.partitionBy(*by, _PID).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    pids = sorted({row[len(by)] for row in wanted})
     hits = (
-        placed.filter(F.col(_PID).isin(*pids) if pids else F.lit(False))
+        placed.join(targets.select(_PID).distinct(), _PID, "left_semi")
         .withColumn("__hi", F.sum("__n").over(w))
-        .join(F.broadcast(targets), [*by, _PID])  # two rows per group and wanted quantile
+        .join(targets, [*by, _PID])
         .filter((F.col("__at") < F.col("__hi")) & (F.col("__at") >= F.col("__hi") - F.col("__n")))
     )
     return hits.groupBy(*by, "prob").agg(
