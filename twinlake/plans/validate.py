@@ -44,6 +44,8 @@ class Validation:
     basket: tuple[str, str, str] | None = None
     min_support: float = 0.02
     min_lift: float = 0.8
+    min_support_other: float | None = None  # of the other side's rules; None: the same
+    features_other: list[str] | None = None  # the other side's features where they were renamed or coarsened
     pii: list[list[str]] = field(default_factory=list)
     quasi: list[list[str]] = field(default_factory=list)
 
@@ -119,7 +121,9 @@ def applicability(
 ) -> DataFrame | None:
     """Utility of each target, or the share of association rules that survive."""
     if spec.basket:
-        sides = [basket.mine_rules(df, *spec.basket, spec.min_support, spec.min_lift) for df in (o, s)]
+        other = spec.min_support if spec.min_support_other is None else spec.min_support_other
+        supports = (spec.min_support, other)
+        sides = [basket.mine_rules(df, *spec.basket, least, spec.min_lift) for df, least in zip((o, s), supports)]
         kept = basket.rule_retention(*sides)
         return kept.select(
             F.lit("rules").alias("target"),
@@ -130,10 +134,11 @@ def applicability(
         )
     if not spec.targets:
         return None
-    categorical = [c for c in spec.features if c in spec.nominal() and c not in spec.roles.continuous]
+    used = dict.fromkeys([*spec.features, *(spec.features_other or [])])
+    categorical = [c for c in used if c in spec.nominal() and c not in spec.roles.continuous]
     return utility.utility_report(
         o, s, spec.targets, spec.features, categorical, order,
-        target_values=spec.target_values, share_codes=share_codes, seed=seed,
+        features_other=spec.features_other, target_values=spec.target_values, share_codes=share_codes, seed=seed,
     )
 
 
@@ -152,14 +157,18 @@ def validate(
     phases=PHASES,
     path: str | None = None,
     mixture: bool = True,
+    share_codes: bool = True,
 ) -> dict[str, DataFrame]:
-    """The chosen phases by name; with ``path`` each is also written as a report section."""
+    """The chosen phases by name; with ``path`` each is also written as a report section.
+
+    Without ``share_codes`` each side's categories get codes of their own, as for an anonymised table.
+    """
     o, s = spec.prepare(o), spec.prepare(s)
     made = {
         "structure": lambda: structure(o, s, spec, dataset, method),
         "bivariate": lambda: bivariate(o, s, spec),
         "whole": lambda: whole(o, s, spec, mixture),
-        "applicability": lambda: applicability(o, s, spec, order),
+        "applicability": lambda: applicability(o, s, spec, order, share_codes=share_codes),
         "privacy": lambda: privacy(o, s, spec),
     }
     out = {p: df for p in phases if (df := made[p]()) is not None}
