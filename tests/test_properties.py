@@ -13,8 +13,9 @@ from twinlake.operators.pseudonym import pseudonymize
 from twinlake.operators.rank import exact_quantiles, global_cumulative, global_rank
 from twinlake.plans import examples
 from twinlake.plans.recipe import PRESETS as RECIPES
-from twinlake.plans.validate import PRESETS, validate
+from twinlake.plans.validate import PRESETS, Validation, validate
 from twinlake.sources import tabular
+from twinlake.sources.roles import Roles
 from twinlake.sources.scratch import materialize, shared_dir
 from twinlake.streaming import steps
 
@@ -169,6 +170,25 @@ def test_validation_phases_of_the_register(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/privacy").select("section").distinct().count() == 1
 
 
+def test_validation_with_settings_of_the_other_side(spark):
+    o = spark.range(200).select("id", F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("f"))
+    o = o.withColumn("t", F.when(F.col("f") == "a", "yes").otherwise("no"))
+    s = o.select("id", F.upper("f").alias("g"), F.upper("t").alias("t"))
+    roles = Roles(categorical=["f", "g", "t"])
+    spec = Validation(roles=roles, features=["f"], features_other=["g"], targets=["t"], models=("tree",))
+    got = validate(o, s, spec, "d", "m", ["id"], ("applicability",), share_codes=False)["applicability"]
+    assert {(r["side"], r["value"]) for r in got.collect()} == {("original", 1.0), ("other", 1.0)}
+
+    def bought(rare):
+        items = F.when(F.col("id") < rare, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("c"), F.lit("d")))
+        return spark.range(10).select("id", F.explode(items).alias("item"), F.lit(1).alias("n"))
+
+    for other, kept in ((None, 0.0), (0.1, 1.0)):
+        spec = Validation(roles=Roles(), basket=("id", "item", "n"), min_support=0.5, min_support_other=other)
+        rules = validate(bought(10), bought(2), spec, "d", "m", ["id"], ("applicability",))["applicability"]
+        assert rules.first()["value"] == kept
+
+
 def test_files_with_other_encodings_and_bom(spark, tmp_path):
     (tmp_path / "latin.csv").write_bytes("a;b\nStraße;1,5\nx;2,25\n".encode("iso-8859-1"))
     (tmp_path / "bom.csv").write_bytes("﻿a;b\nStraße;1,5\n".encode())

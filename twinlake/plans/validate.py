@@ -40,6 +40,7 @@ class Validation:
     sentinels: dict[str, list] = field(default_factory=dict)
     features: list[str] = field(default_factory=list)
     targets: list[str] = field(default_factory=list)
+    models: tuple[str, ...] = utility.MODELS
     target_values: list | None = None
     basket: tuple[str, str, str] | None = None
     min_support: float = 0.02
@@ -138,7 +139,8 @@ def applicability(
     categorical = [c for c in used if c in spec.nominal() and c not in spec.roles.continuous]
     return utility.utility_report(
         o, s, spec.targets, spec.features, categorical, order,
-        features_other=spec.features_other, target_values=spec.target_values, share_codes=share_codes, seed=seed,
+        features_other=spec.features_other, target_values=spec.target_values, share_codes=share_codes,
+        models=spec.models, seed=seed,
     )
 
 
