@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from twinlake.llm import jaccard
+from twinlake.llm import jaccard, langid
 
 PIPE = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -64,3 +64,27 @@ def test_near_texts_recall_at_the_threshold():
         a, b = all_[:270], all_[30:]
         met += (jaccard.cells(a) == jaccard.cells(b)).any()
     assert met >= 1490
+
+
+def speech(seed, kinds, words=40):
+    rng = np.random.default_rng(seed)
+    return " ".join("".join(rng.choice(kinds, 3)) for _ in range(words))
+
+
+COMMON, RARE = ["pa", "po", "ti", "ra"], ["sch", "ung", "ie", "orn"]
+
+
+def test_rejection_is_fitted_for_each_language(spark):
+    """Beside 9 000 rows of another language, 60 rows of a language still set its limit, and 5 rows set none."""
+    for n, limited in ((60, True), (5, False)):
+        rows = [(i, speech(i % 300, COMMON), "aa", "s", 1) for i in range(9_000)]
+        rows += [(10_000 + i, speech(20_000 + i, RARE), "bb", "s", 1) for i in range(n)]
+        rows += [(11_000 + i, rows[9_000][1], "bb", "s", 1) for i in range(100)]  # copies do not count
+        model = langid.fit(spark.createDataFrame(rows, PIPE).repartition(4))
+        at = model.langs.index("bb")
+        assert np.isfinite(model.spread[at]) == limited and np.isfinite(model.spread[model.langs.index("aa")])
+        held = [speech(30_000 + i, RARE) for i in range(200)]
+        assert not model.predict(held)["rejected"].any()
+        if limited:
+            bits = model.entropies([r[1] for r in rows[9_000 : 9_000 + n]])[0][:, at]
+            assert abs(model.centre[at] - np.median(bits)) < 0.05

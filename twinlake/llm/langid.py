@@ -4,7 +4,7 @@ Texts are folded to letters and single blanks. All labelled rows that may be lea
 counts its own 4-grams first and Spark adds the counts up. From the counts each language gets an interpolated
 Kneser-Ney model of order 4, stored as sorted arrays of 64-bit n-gram codes (four characters of 16 bits) with
 binary-search lookups. A text gets the language with the lowest cross-entropy per character. Rejection is calibrated
-on labelled rows: a text is rejected when it has no letter, or when its cross-entropy under the best model is far
+on all labelled rows, language by language: a text is rejected when it has no letter, or when its cross-entropy under the best model is far
 outside what texts of that language have.
 """
 
@@ -210,13 +210,15 @@ def fit(
     lang_col: str = "lang",
     text_col: str = "text",
     grams_kept: int = 250_000,
-    calibration_rows: int = 4_000,
     tolerance: float = 8.0,
+    fewest: int = 50,
 ) -> LanguageModel:
     """Learn from every row of ``labelled``; rows without language or text are ignored.
 
     ``grams_kept`` bounds the model, not the counting: the most frequent n-grams of each language. The rejection
-    limit is fitted on about ``calibration_rows`` rows: ``tolerance`` robust standard deviations above the median.
+    limit of a language is fitted on all its different texts of 50 letters or more: ``tolerance`` robust standard
+    deviations above the median. A language with less than ``fewest`` such texts has no limit, and only its texts without
+    a letter are rejected.
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     counted = rows.mapInPandas(_count, "lang string, gram long, n long")
@@ -239,9 +241,6 @@ def fit(
         models.append(KneserNey.fit(own["gram"].to_numpy().view(np.uint64), own["n"].to_numpy()))
     model = LanguageModel(langs, models, [0.0] * len(langs), [np.inf] * len(langs))
 
-    share = calibration_rows / max(rows.count(), 1)
-    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(min(1.0, share) * 1_000_000))
-
     @F.pandas_udf("struct<lang_pred: string, bits: double, letters: long>")
     def measure(text: pd.Series) -> pd.DataFrame:
         bits, letters = model.entropies(text)
@@ -250,9 +249,12 @@ def fit(
             {"lang_pred": np.array(model.langs, object)[best], "bits": bits.min(1), "letters": letters}
         )
 
-    seen = some.select("lang", measure("text").alias("m")).where("m.lang_pred = lang AND m.letters >= 50")
-    middle = seen.groupBy("lang").agg(F.percentile_approx("m.bits", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias("q"))
-    for r in middle.collect():  # one row per language
+    seen = rows.select("lang", F.sha2("text", 256).alias("sha"), measure("text").alias("m")).where("m.lang_pred = lang AND m.letters >= 50")
+    seen = seen.groupBy("lang", "sha").agg(F.first("m.bits").alias("bits"))  # copies count once
+    middle = seen.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("bits", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias("q")
+    )
+    for r in middle.where(F.col("n") >= fewest).collect():  # one row per language
         k = langs.index(r["lang"])
         low, mid, high = r["q"]
         model.centre[k], model.spread[k] = mid, tolerance * max((high - low) / 1.349, 0.02)
