@@ -88,3 +88,16 @@ def test_rejection_is_fitted_for_each_language(spark):
         if limited:
             bits = model.entropies([r[1] for r in rows[9_000 : 9_000 + n]])[0][:, at]
             assert abs(model.centre[at] - np.median(bits)) < 0.05
+
+
+def test_model_keeps_rare_grams_of_a_large_alphabet(spark):
+    """300 000 different 4-grams of one language, most of them seen once: all are in the model, with their discount."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9000, 1000))) for _ in range(300)]
+    rows = [(i, t, "zz", "s", 1) for i, t in enumerate(texts)] + [(i, speech(i, COMMON), "aa", "s", 1) for i in range(60)]
+    model = langid.fit(spark.createDataFrame(rows, PIPE).repartition(4))
+    gram, n = np.unique(np.concatenate([langid.grams(langid.fold(t)) for t in texts]), return_counts=True)
+    assert len(gram) > 290_000
+    got, want = model.models[model.langs.index("zz")], langid.KneserNey.fit(gram, n)
+    assert all(np.array_equal(a, b) for a, b in zip(got.codes, want.codes))
+    assert all(np.allclose(a, b) for a, b in zip(got.probs, want.probs)) and got.floor == want.floor

@@ -4,8 +4,8 @@ Texts are folded to letters and single blanks. All labelled rows that may be lea
 counts its own 4-grams first and Spark adds the counts up. From the counts each language gets an interpolated
 Kneser-Ney model of order 4, stored as sorted arrays of 64-bit n-gram codes (four characters of 16 bits) with
 binary-search lookups. A text gets the language with the lowest cross-entropy per character. Rejection is calibrated
-on all labelled rows, language by language: a text is rejected when it has no letter, or when its cross-entropy under the best model is far
-outside what texts of that language have.
+on all labelled rows, language by language: a text is rejected when it has no letter, or when its cross-entropy under
+the best model is far outside what texts of that language have.
 """
 
 from __future__ import annotations
@@ -205,17 +205,27 @@ def _portions(texts, most: int = 1_500_000):
         yield a, a + len(parts), parts, letters
 
 
+def _all_grams(own: DataFrame, size: int, most: int = 5_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, n) of all rows of one language, fetched in parts of about ``most`` rows."""
+    parts = -(-size // most)
+    fetched = [
+        own.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == k).select("gram", "n").toArrow() for k in range(parts)
+    ]
+    gram, n = (np.concatenate([t[c].to_numpy() for t in fetched]) for c in ("gram", "n"))
+    return gram.view(np.uint64), n
+
+
 def fit(
     labelled: DataFrame,
     lang_col: str = "lang",
     text_col: str = "text",
-    grams_kept: int = 250_000,
     tolerance: float = 8.0,
     fewest: int = 50,
 ) -> LanguageModel:
     """Learn from every row of ``labelled``; rows without language or text are ignored.
 
-    ``grams_kept`` bounds the model, not the counting: the most frequent n-grams of each language. The rejection
+    The model holds all n-grams of each language, however rare, so it grows with the corpus (16 bytes for an n-gram
+    of each order and for a context, in the driver and in every worker that scores). The rejection
     limit of a language is fitted on all its different texts of 50 letters or more: ``tolerance`` robust standard
     deviations above the median. A language with less than ``fewest`` such texts has no limit, and only its texts without
     a letter are rejected.
@@ -223,22 +233,12 @@ def fit(
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     counted = rows.mapInPandas(_count, "lang string, gram long, n long")
     totals = materialize(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    sizes = totals.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("k"))
-    # the count at which a language has grams_kept n-grams: one row per distinct count, not per n-gram
-    cut = (
-        sizes.selectExpr("lang", "n", "sum(k) OVER (PARTITION BY lang ORDER BY n DESC) AS upto")
-        .where(F.col("upto") <= grams_kept)
-        .groupBy("lang")
-        .agg(F.min("n").alias("least"))
-    )
-    top = totals.join(F.broadcast(cut), "lang").where("n >= least").select("lang", "gram", "n").toPandas()
-    langs = sorted(top["lang"].unique())
-    if not langs:
+    held = sorted((r["lang"], r["count"]) for r in totals.groupBy("lang").count().collect())  # one row per language
+    if not held:
         raise ValueError("no labelled text to learn from")
-    models = []
-    for lang in langs:
-        own = top[top["lang"] == lang]
-        models.append(KneserNey.fit(own["gram"].to_numpy().view(np.uint64), own["n"].to_numpy()))
+    langs, models = [lang for lang, _ in held], []
+    for lang, size in held:
+        models.append(KneserNey.fit(*_all_grams(totals.where(F.col("lang") == lang), size)))
     model = LanguageModel(langs, models, [0.0] * len(langs), [np.inf] * len(langs))
 
     @F.pandas_udf("struct<lang_pred: string, bits: double, letters: long>")
