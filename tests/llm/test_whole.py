@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from twinlake.llm import jaccard, langid
+from twinlake.llm import jaccard, langid, quality
 
 PIPE = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -101,3 +101,16 @@ def test_model_keeps_rare_grams_of_a_large_alphabet(spark):
     got, want = model.models[model.langs.index("zz")], langid.KneserNey.fit(gram, n)
     assert all(np.array_equal(a, b) for a, b in zip(got.codes, want.codes))
     assert all(np.allclose(a, b) for a, b in zip(got.probs, want.probs)) and got.floor == want.floor
+
+
+def test_empty_and_unlabelled_tables(spark):
+    rows = [(1, "some words here", None, "s", 1), (2, "12 !!", None, "s", 1), (3, None, None, "s", 1)]
+    unlabelled = spark.createDataFrame(rows, PIPE)
+    assert [r["doc_id"] for r in corpus_pipeline.identify_language(spark, unlabelled, "").collect()] == [1]
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    model = quality.fit(unlabelled, labels, "doc_id", "text", "quality")
+    assert [r["score"] for r in quality.scored(unlabelled, model).collect()] == [0.5] * 3
+    docs = unlabelled.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.materialize(stage(spark, docs, ""))
+        assert docs.count() == 0

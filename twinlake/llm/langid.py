@@ -172,6 +172,9 @@ class LanguageModel:
         return bits, letters
 
     def predict(self, texts) -> pd.DataFrame:
+        if not self.langs:
+            none = np.array([not (fold(t) != BLANK).any() for t in texts], bool)
+            return pd.DataFrame({"lang_pred": ["und"] * len(none), "score": 0.0, "bits": 0.0, "rejected": none})
         bits, letters = self.entropies(texts)
         best = bits.argmin(1)
         least = bits[np.arange(len(bits)), best]
@@ -221,9 +224,13 @@ def fit(
     text_col: str = "text",
     tolerance: float = 8.0,
     fewest: int = 50,
+    required: bool = True,
 ) -> LanguageModel:
     """Learn from every row of ``labelled``; rows without language or text are ignored.
 
+    Without any other row this raises ValueError or, if not ``required``, gives a model without languages: to it every
+    text is ``und`` with score 0, and only texts without a letter are rejected.
+
     The model holds all n-grams of each language, however rare, so it grows with the corpus (16 bytes for an n-gram
     of each order and for a context, in the driver and in every worker that scores). The rejection
     limit of a language is fitted on all its different texts of 50 letters or more: ``tolerance`` robust standard
@@ -234,6 +241,8 @@ def fit(
     counted = rows.mapInPandas(_count, "lang string, gram long, n long")
     totals = materialize(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     held = sorted((r["lang"], r["count"]) for r in totals.groupBy("lang").count().collect())  # one row per language
+    if not held and not required:
+        return LanguageModel([], [], [], [])
     if not held:
         raise ValueError("no labelled text to learn from")
     langs, models = [lang for lang, _ in held], []
@@ -274,7 +283,7 @@ def predictor(model: LanguageModel):
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out: str = "language") -> DataFrame:
     """``docs`` with the struct column ``out``: lang_pred, score, bits, rejected.
 
-    NULL texts and texts without a letter are ``und`` with score 0 and rejected; no other text is ``und``. Equal
+    NULL texts and texts without a letter are ``und`` with score 0 and rejected; no other text is ``und`` unless the model has no language. Equal
     texts get equal results; among equally good languages the first in sorted order wins.
     """
     return docs.withColumn(out, predictor(model)(F.col(text_col)))

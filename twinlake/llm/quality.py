@@ -158,12 +158,19 @@ def train(texts, labels, hidden: int = 32, gate: int = 16, epochs: int = 40, bat
     return model
 
 
+def neutral(hidden: int = 32, gate: int = 16) -> AttentionModel:
+    """A model that has learned nothing: every text scores 0.5."""
+    shapes = {"W": (N_FEATURES, hidden), "bw": hidden, "V": (hidden, gate), "U": (hidden, gate), "w": gate, "c": hidden, "b": ()}
+    params = {k: np.zeros(s, np.float32) for k, s in shapes.items()}
+    return AttentionModel(np.zeros(N_FEATURES, np.float32), np.ones(N_FEATURES, np.float32), params)
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = 4_000, sample_bytes: int = 16 << 20
 ) -> AttentionModel:
     """Train on at most ``sample`` labelled documents (the smallest hashes of their ids) of at most ``sample_bytes``.
 
-    Rows without label are ignored; of repeated labels the largest counts. Labels of one class only are accepted.
+    Without any labelled document every text scores 0.5. Rows without label are ignored; of repeated labels the largest counts. Labels of one class only are accepted.
     """
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id IS NOT NULL AND __y IS NOT NULL")
     known = known.groupBy("__id").agg(F.max("__y").alias("__y"))
@@ -172,6 +179,8 @@ def fit(
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(chosen), "__id")
     sized = rows.withColumn("__h", F.xxhash64("__id", F.lit(1)))
     got = sized.select("__id", "__h", "__y", F.octet_length("__t").alias("__n")).toPandas().sort_values(["__h", "__id"])
+    if not len(got):
+        return neutral()
     kept = got[got["__n"].fillna(0).cumsum() <= sample_bytes]
     if not len(kept):
         raise ValueError("no labelled document to learn from")

@@ -150,7 +150,7 @@ def op5_remove_repeats(spark, sf_dir):
 def op6_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = langid.remainder(F.col("doc_id"), 5) == 0
-    model = langid.fit(docs.where(~held_out))
+    model = langid.fit(docs.where(~held_out), required=False)
     out = langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model)
     return out.select("doc_id", "held_out", "language.lang_pred", "language.score", "language.bits", "language.rejected")
 
