@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.common import Family, table, u_sql
 
-from . import crosspoly, langid, ledger, mix, packing, preference, quality, rankbpe, refine, repeats, simhash, spelling
+from . import crosspoly, divergence, langid, ledger, mix, packing, preference, quality, rankbpe, refine, repeats, simhash, spelling
 from .common import LOWER, UPPER
 
 family = Family()
@@ -182,6 +182,42 @@ def op10_secrets(spark, sf_dir):
     return found.select("doc_id", *map(count, ledger.BASE), F.sha2(shown(base), 256).alias("base_sha256"), shown(spans).alias("spans"))
 
 
+@family.add(
+    "op11_divergence",
+    rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS text FROM documents),
+occurs AS (
+  SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM occurs GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+counts AS (SELECT lang, source, term, count(*) AS n FROM occurs GROUP BY lang, source, term),
+groups AS (SELECT DISTINCT lang, source FROM d),
+grid AS (
+  SELECT g.lang, g.source, k.term, k.lang_n, coalesce(c.n, 0) AS n FROM groups g JOIN kept k ON g.lang = k.lang
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+totals AS (SELECT lang, source, sum(n) AS own, sum(lang_n) AS total, count(*) AS v FROM grid GROUP BY lang, source),
+shares AS (
+  SELECT g.lang, g.source, term, n, 1 + (1000000000::HUGEINT * (n + 1)) // (own + v)::HUGEINT AS p,
+    1 + (1000000000::HUGEINT * (lang_n + 1)) // (total + v)::HUGEINT AS q
+  FROM grid g JOIN totals t ON g.lang = t.lang AND g.source = t.source),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+items AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM items)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200""",
+)
+def op11_divergence(spark, sf_dir):
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 @family.add("op12_rank_bpe")
 def op12_rank_bpe(spark, sf_dir):
     coded = rankbpe.decode(rankbpe.encode(table(spark, sf_dir, "documents")))
