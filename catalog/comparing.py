@@ -226,6 +226,47 @@ def _(spark, d):
     return rounded(leakage.leak_report(*pair(spark, d), _CHECKS))
 
 
+def types_apart(spark, d):
+    """Every second customer's numbers as doubles, and every customer's as decimals and text."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("k"))
+    tiny, big, huge = F.concat("k", F.lit("e-4")), F.concat(25_000_000 + F.col("k"), F.lit(".5")), 9_100_000_000_000_000 + 2 * F.col("k")
+    o = c.where("k % 2 = 0").select(tiny.cast("double").alias("tiny"), big.cast("double").alias("big"), huge.cast("double").alias("huge"))
+    return o, c.select(tiny.cast("decimal(20,6)").alias("tiny"), big.alias("big"), huge.alias("huge"))
+
+
+_APART = [["tiny"], ["big"], ["huge"], ["tiny", "big", "huge"]]
+
+
+@add(
+    "leak_values_across_types",
+    _all(
+        *[
+            f"SELECT '{'+'.join(c)}' AS \"check\", count(*) AS total, count(*) FILTER (c_custkey % 2 = 0) AS matched, "
+            "round(count(*) FILTER (c_custkey % 2 = 0) / count(*), 6) AS share FROM customer"
+            for c in _APART
+        ]
+    ),
+)
+def _(spark, d):
+    return rounded(leakage.leak_report(*types_apart(spark, d), _APART))
+
+
+@add(
+    "fid_values_across_types",
+    _all(
+        *[
+            f"SELECT '{c}' AS \"column\", 'category_coverage' AS metric, 1.0::DOUBLE AS value "
+            f"UNION ALL SELECT '{c}', 'frequency_similarity', round(count(*) FILTER (c_custkey % 2 = 0) / count(*), 6) FROM customer"
+            for c in ("tiny", "big", "huge")
+        ]
+    ),
+)
+def _(spark, d):
+    o, s = types_apart(spark, d)
+    cols = ["tiny", "big", "huge"]
+    return rounded(fidelity.category_coverage(o, s, cols).unionByName(fidelity.tv_complement(o, s, cols)))
+
+
 _CELL_SQL = f"""SELECT 'c_mktsegment x c_nationkey' AS item, 'tv_distance' AS metric, round(0.5 * sum(abs(
     n_o / (SELECT count(*) FROM customer)::DOUBLE - n_s / (SELECT count(*) FROM known)::DOUBLE)), 6) AS value FROM (
       SELECT sum(o) AS n_o, sum(s) AS n_s FROM (SELECT c_mktsegment, c_nationkey, 1 AS o, 0 AS s FROM customer

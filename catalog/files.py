@@ -151,7 +151,7 @@ _STEPS = [
 @add(
     "stream_row_steps",
     f"""SELECT event_id, strftime(ts, '%B %Y') AS ts, event_type,
-          ('0x' || substr(md5('{SEED}:pseudonym:' || user_id), 1, 15))::BIGINT AS user_id,
+          md5('{SEED}:pseudonym:' || user_id) AS user_id,
           CASE WHEN value <= -1000000 THEN NULL WHEN value <= 0 THEN 'neg' WHEN value <= 50 THEN 'low'
                WHEN value <= 100 THEN 'mid' WHEN value <= 1000000 THEN 'high' END AS value FROM events""",
 )

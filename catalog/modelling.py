@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.common import CUSTOMER_SYN, SEED, Family, customer_syn, table, u_sql
@@ -13,6 +15,7 @@ from twinlake.operators import dp
 from twinlake.operators import synthesize as syn
 from twinlake.operators.aggregate import rounded
 from twinlake.operators.bayesnet import BayesNet, compare_correlation, compare_prevalence
+from twinlake.operators.budget import Budget, BudgetExceeded
 from twinlake.sources.scratch import shared_dir
 
 family = Family()
@@ -131,6 +134,19 @@ def _(spark, d):
     return dp.dp_count(table(spark, d, "customer"), 1.0, SEED, by=["c_mktsegment"])
 
 
+_GROUP_KEY = "concat_ws('-', c_nationkey, c_mktsegment)"
+
+
+@add(
+    "dp_group_counts",
+    f"""SELECT c_nationkey, c_mktsegment, round(noisy)::BIGINT AS dp_count FROM (
+          SELECT c_nationkey, c_mktsegment, count(*) + {_lap('dp_group_counts', _GROUP_KEY, '1.0')} AS noisy
+          FROM customer GROUP BY 1, 2) WHERE noisy >= 1 + ln(1 / (2 * 1e-5::DOUBLE))""",
+)
+def _(spark, d):
+    return dp.dp_group_counts(table(spark, d, "customer"), ["c_nationkey", "c_mktsegment"], 1.0, 1e-5, SEED)
+
+
 _MEAN = f"""SELECT round(greatest(0.0::DOUBLE, least(10000.0::DOUBLE, 5000 +
     (sum(greatest(0, least(10000, c_acctbal)) - 5000) + {_lap('dp_mean/sum', "'c_acctbal'", '10000')})
     / greatest(1, count(c_acctbal) + {_lap('dp_mean/count', "'c_acctbal'", '2')}))), 6)"""
@@ -174,6 +190,34 @@ def _(spark, d):
     return rounded(dp.dp_compare(table(spark, d, "customer").select("c_acctbal"), "c_acctbal", 0, 10000, 1.0, SEED))
 
 
+# Three releases of four values at epsilon 1 each from a total of 10: the third would spend 12 and is refused.
+@add(
+    "dp_budget",
+    f"""WITH first_release AS (
+          SELECT 'count' AS measure, 1 AS k, count(c_acctbal)::DOUBLE AS exact,
+            round(count(c_acctbal) + {_lap('dp_count', "'all'", '1.0')})::DOUBLE AS private FROM customer
+          UNION ALL SELECT 'mean', 2, round(avg(c_acctbal), 6), ({_MEAN} FROM customer) FROM customer
+          UNION ALL SELECT 'min', 3, min(c_acctbal), {_quantile(0.0)}::DOUBLE FROM customer
+          UNION ALL SELECT 'max', 4, max(c_acctbal), {_quantile(1.0)}::DOUBLE FROM customer)
+        SELECT 'customers' AS release, measure, exact, private, 1.0::DOUBLE AS epsilon, k::DOUBLE AS spent FROM first_release
+        UNION ALL SELECT 'again', measure, exact, private, 1.0::DOUBLE, (k + 4)::DOUBLE FROM first_release
+        UNION ALL SELECT 'refused', NULL, NULL, NULL, NULL, 8.0::DOUBLE""",
+)
+def _(spark, d):
+    budget = Budget(spark, f"{shared_dir(spark)}/budget-{uuid.uuid4().hex}", epsilon=10.0)
+    rows = table(spark, d, "customer").select("c_acctbal")
+    parts = []
+    for release in ("customers", "again", "third"):
+        try:
+            part = rounded(dp.dp_compare(rows, "c_acctbal", 0, 10000, 1.0, SEED, budget, release))
+            parts.append(part.select(F.lit(release).alias("release"), *part.columns))
+        except BudgetExceeded:
+            spent = budget.ledger().agg(F.max("spent").alias("spent"))
+            empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in parts[0].schema.fields[1:-1]]
+            parts.append(spent.select(F.lit("refused").alias("release"), *empty, "spent"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @add(
     "dp_bound_contributions",
     f"""SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id

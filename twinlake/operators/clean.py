@@ -48,6 +48,9 @@ def recode_column(col, mapping: dict, default: str = "null") -> Column:
 def recode(df: DataFrame, col: str, mapping: dict, default: str = "null") -> DataFrame:
     if default not in ("null", "keep"):
         raise ValueError("default is 'null' or 'keep'")
+    kinds = {type(v) for v in mapping.values() if v is not None}
+    if len(kinds) > 1 and not kinds <= {int, float}:  # values of several kinds become text, however many there are
+        mapping = {k: v if v is None else str(v) for k, v in mapping.items()}
     if len(mapping) <= CASE_LIMIT:
         return df.withColumn(col, recode_column(col, mapping, default))
     table = df.sparkSession.createDataFrame(list(mapping.items()), ["__old", "__new"])

@@ -7,11 +7,14 @@ row per person: bound the contributions first where that does not hold.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlake.functions.rand import below, digest, gumbel, laplace, uniform
 from twinlake.operators.aggregate import summary
+from twinlake.operators.budget import Budget
 from twinlake.operators.rank import global_cumulative
 
 
@@ -22,6 +25,26 @@ def dp_count(df: DataFrame, eps: float, seed, by: list[str] | None = None) -> Da
     return counts.select(*(by or []), F.round(F.col("n") + laplace(u, 1 / eps)).cast("long").alias("dp_count"))
 
 
+def dp_group_counts(df: DataFrame, by: list[str], eps: float, delta: float, seed) -> DataFrame:
+    """Noisy counts of the groups whose noisy count passes a threshold; the others do not show at all.
+
+    A group that only one person is in passes with probability ``delta`` at most, so the presence of a rare group
+    stays hidden: the release is (eps, delta)-differentially private in the groups as well as in the counts. A group
+    of no rows is never released. NULL is a group like others.
+    """
+    if not 0 < delta < 0.5:
+        raise ValueError("delta is between 0 and 0.5")
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    noisy = F.col("n") + laplace(uniform(seed, "dp_group_counts", *by), 1 / eps)
+    shown = counts.withColumn("__noisy", noisy).where(F.col("__noisy") >= group_threshold(eps, delta))
+    return shown.select(*by, F.round("__noisy").cast("long").alias("dp_count"))
+
+
+def group_threshold(eps: float, delta: float) -> float:
+    """The noisy count a group of one person reaches with probability ``delta``."""
+    return 1 + math.log(1 / (2 * delta)) / eps
+
+
 def dp_mean(df: DataFrame, col: str, lo: float, hi: float, eps: float, seed) -> DataFrame:
     """Mean of the values clamped to [lo, hi], half the budget each for the centred sum and the count."""
     mid = (lo + hi) / 2
@@ -59,8 +82,15 @@ def dp_max(df, col, lo, hi, eps, seed) -> DataFrame:
     return dp_quantile(df, col, 1.0, lo, hi, eps, seed).withColumnRenamed("dp_quantile", "dp_max")
 
 
-def dp_compare(df: DataFrame, col: str, lo: int, hi: int, eps: float, seed) -> DataFrame:
-    """Exact and private count, mean, min and max side by side; every private value spends ``eps``."""
+def dp_compare(
+    df: DataFrame, col: str, lo: int, hi: int, eps: float, seed, budget: Budget | None = None, release: str = "dp_compare"
+) -> DataFrame:
+    """Exact and private count, mean, min and max side by side; every private value spends ``eps``.
+
+    With a ``budget`` the four are entered in its ledger under ``release`` before anything is computed, and what
+    exceeds it is refused; the columns ``epsilon`` and ``spent`` (after the measure) are then added.
+    """
+    entries = None if budget is None else budget.spend({f"{release}/{m}": eps for m in ("count", "mean", "min", "max")})
     exact = summary(df, [col]).select(
         F.inline(
             F.array(
@@ -82,7 +112,11 @@ def dp_compare(df: DataFrame, col: str, lo: int, hi: int, eps: float, seed) -> D
     for m, one in parts.items():
         row = one.select(F.lit(m).alias("measure"), F.col(one.columns[0]).cast("double").alias("private"))
         private = row if private is None else private.unionByName(row)
-    return exact.join(private, "measure")
+    both = exact.join(private, "measure")
+    if entries is None:
+        return both
+    spent = [F.struct(F.lit(name.rsplit("/", 1)[1]).alias("measure"), F.lit(e).alias("epsilon"), F.lit(total).alias("spent")) for name, e, total in entries]
+    return both.join(df.sparkSession.range(1).select(F.inline(F.array(*spent))), "measure")
 
 
 def bound_contributions(df: DataFrame, person: str, max_rows: int, seed, row_key: list[str]) -> DataFrame:

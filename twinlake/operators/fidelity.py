@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinlake.functions.values import value_text
+from twinlake.functions.values import texts_of
 from twinlake.operators.aggregate import melt
 from twinlake.operators.rank import exact_quantiles
 from twinlake.sources.scratch import materialize
@@ -39,8 +39,17 @@ def numbers(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(*[as_number(df, c).alias(c) for c in cols])
 
 
-def column_stats(df: DataFrame, cols: list[str]) -> DataFrame:
-    """count, mean, std, min and max per column from one pass; one row per column."""
+#: Ranks between which a median is looked for, and the accuracy of the sketch that finds them.
+NEAR, ACCURACY = (0.495, 0.505), 1_000
+
+
+def _near(c) -> Column:
+    """Two values with the median between them: the sketch errs by less than half the distance of their ranks."""
+    return F.percentile_approx(c, list(NEAR), ACCURACY)
+
+
+def column_stats(df: DataFrame, cols: list[str], near: bool = False) -> DataFrame:
+    """count, mean, std, min and max per column from one pass; one row per column. ``near`` adds a median bracket."""
     parts = [
         F.struct(
             F.lit(c).alias("column"),
@@ -49,12 +58,38 @@ def column_stats(df: DataFrame, cols: list[str]) -> DataFrame:
             F.stddev_samp(c).alias("std"),
             F.min(c).alias("lo"),
             F.max(c).alias("hi"),
+            *([_near(c).alias("near")] if near else []),
         )
         for c in cols
     ]
     return numbers(df, cols).agg(F.array(*parts).alias("__s")).select(F.inline("__s"))
 
 
+def _selected(long: DataFrame, brackets: dict[tuple[str, str], list | None]) -> DataFrame:
+    """Exact medians of ``long`` (side, column, value, n) by selection: ``side, column, quantile``.
+
+    One counting pass: values below a column's bracket count as -inf, those above as inf, so only what lies inside
+    is shuffled and sorted. A bracket that misses the median shows as an infinite result and is opened.
+    """
+    rows = None
+    for (side, column), near in brackets.items():
+        hit, v = (F.col("side") == side) & (F.col("column") == column), F.col("value")
+        if near is None:
+            cut = v
+        else:
+            cut = F.when(v < near[0], float("-inf")).when(v > near[1], float("inf")).otherwise(v)
+        rows = F.when(hit, cut) if rows is None else rows.when(hit, cut)
+    counted = long.where(F.col("value").isNotNull()).withColumn("value", rows)
+    counted = counted.groupBy("side", "column", "value").agg(F.sum("n").alias("n"))
+    found = materialize(exact_quantiles(counted, ["side", "column"], "value", [0.5], "n"))
+    missed = found.where(F.isnan("quantile") | (F.abs("quantile") == float("inf"))).select("side", "column").collect()
+    wider = {(r["side"], r["column"]): None for r in missed if brackets[r["side"], r["column"]] is not None}
+    if not wider:
+        return found
+    again = reduce(lambda x, y: x | y, [(F.col("side") == a) & (F.col("column") == b) for a, b in wider])
+    return found.where(~again).unionByName(_selected(long.where(again), wider))
+
+
 def medians(sides: dict[str, DataFrame], cols: list[str], accuracy: int | None = None) -> DataFrame:
     """Exact median per column, one output column per side; with ``accuracy`` the one-pass approximation."""
     if accuracy:
@@ -67,23 +102,36 @@ def medians(sides: dict[str, DataFrame], cols: list[str], accuracy: int | None =
             one = numbers(df, cols).agg(F.array(*parts).alias("__s")).select(F.inline("__s"))
             out = one if out is None else out.join(one, "column")
         return out
-    long = reduce(
-        DataFrame.unionByName,
-        [melt(numbers(df, cols), cols, "double").withColumn("side", F.lit(n)) for n, df in sides.items()],
-    )
-    found = exact_quantiles(long, ["side", "column"], "value", [0.5])
+    brackets = {}
+    for name, df in sides.items():
+        row = numbers(df, cols).agg(*[_near(c).alias(f"b{i}") for i, c in enumerate(cols)]).first()
+        brackets |= {(name, c): row[f"b{i}"] for i, c in enumerate(cols)}
+    return _medians(sides, cols, brackets)
+
+
+def _medians(sides: dict[str, DataFrame], cols: list[str], brackets: dict) -> DataFrame:
+    parts = [
+        melt(numbers(df, cols), cols, "double").select("*", F.lit(name).alias("side"), F.lit(1).cast("long").alias("n"))
+        for name, df in sides.items()
+    ]
+    found = _selected(reduce(DataFrame.unionByName, parts), brackets)
     return found.groupBy("column").agg(
         *[F.max(F.when(F.col("side") == n, F.col("quantile"))).alias(n) for n in sides]
     )
 
 
-def _paired(o: DataFrame, s: DataFrame, cols: list[str]) -> DataFrame:
-    a = column_stats(o, cols)
-    b = column_stats(s, cols)
+def _paired(o: DataFrame, s: DataFrame, cols: list[str], near: bool = False) -> DataFrame:
+    a = column_stats(o, cols, near)
+    b = column_stats(s, cols, near)
     b = b.select("column", *[F.col(c).alias(f"{c}_s") for c in b.columns if c != "column"])
     return a.join(b, "column")
 
 
+def _brackets(stats: list) -> dict:
+    """From one row per column, as ``_paired`` gives them."""
+    return {(side, r["column"]): r[c] for r in stats for side, c in (("median", "near"), ("median_s", "near_s"))}
+
+
 def _similar(a: Column, b: Column, lo: Column, hi: Column) -> Column:
     known = (hi > lo) & a.isNotNull() & b.isNotNull()  # greatest() would skip a NULL
     return F.when(known, F.greatest(F.lit(0.0), 1 - F.abs(a - b) / (hi - lo)))
@@ -98,8 +146,13 @@ def statistic_similarity(
     o: DataFrame, s: DataFrame, cols: list[str], stats=("mean", "median", "std"), accuracy=None
 ) -> DataFrame:
     """1 - |difference of a statistic| / range of the original, per column: ``column, metric, value``."""
-    pair = _paired(o, s, cols)
-    if "median" in stats:
+    exact = "median" in stats and not accuracy
+    pair = _paired(o, s, cols, near=exact)
+    if exact:
+        found = pair.collect()  # one row per column
+        pair = o.sparkSession.createDataFrame(found, pair.schema)
+        pair = pair.join(_medians({"median": o, "median_s": s}, cols, _brackets(found)), "column", "left")
+    elif "median" in stats:
         pair = pair.join(medians({"median": o, "median_s": s}, cols, accuracy), "column", "left")
     return _long(pair, _similarities(stats))
 
@@ -147,35 +200,38 @@ def boundary_adherence(o: DataFrame, s: DataFrame, cols: list[str]) -> DataFrame
     return inside.agg(F.array(*parts).alias("__s")).select(F.inline("__s"))
 
 
-def _as_text(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Columns as text that is equal for equal values; dates and timestamps as the text of their number."""
+def _numbered(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Dates and timestamps as their number."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
     dated = [c for c in cols if isinstance(kinds[c], (T.DateType, T.TimestampType, T.TimestampNTZType))]
-    numbered = df.withColumns({c: as_number(df, c) for c in dated}) if dated else df
-    return numbered.select(*[value_text(numbered, c).alias(c) for c in cols])
+    return df.withColumns({c: as_number(df, c) for c in dated}) if dated else df
+
+
+def _as_text(df: DataFrame, other: DataFrame, cols: list[str]) -> DataFrame:
+    """Columns as text that is equal for equal values of the other side; dates and timestamps as their number."""
+    mine, theirs = _numbered(df, cols), _numbered(other, cols)
+    return mine.select(*[text.alias(c) for c, text in texts_of(mine, theirs, cols).items()])
 
 
 def value_profile(o: DataFrame, s: DataFrame, cols: list[str]) -> DataFrame:
     """Rows per (column, value) on each side, a NULL being one value."""
     sides = [
-        melt(_as_text(df, cols), cols, "string").select("*", F.lit(i).alias("o"), F.lit(1 - i).alias("s"))
-        for df, i in ((o, 1), (s, 0))
+        melt(_as_text(df, other, cols), cols, "string").select("*", F.lit(i).alias("o"), F.lit(1 - i).alias("s"))
+        for df, other, i in ((o, s, 1), (s, o, 0))
     ]
     both = sides[0].unionByName(sides[1])
     return both.groupBy("column", "value").agg(F.sum("o").alias("o"), F.sum("s").alias("s"))
 
 
-def _profile_medians(profile: DataFrame, cols: list[str]) -> DataFrame:
+def _profile_medians(profile: DataFrame, cols: list[str], brackets: dict) -> DataFrame:
     """Exact medians of both sides from the value counts: ``column, median, median_s``."""
+    sides = [F.struct(F.lit(name).alias("side"), F.col(x).alias("n")) for name, x in (("median", "o"), ("median_s", "s"))]
     long = profile.filter(F.col("column").isin(*cols)).select(
-        "column",
-        F.col("value").cast("double").alias("value"),
-        F.inline(F.array(*[F.struct(F.lit(x).alias("side"), F.col(x).alias("n")) for x in ("o", "s")])),
+        "column", F.col("value").cast("double").alias("value"), F.inline(F.array(*sides))
     )
-    found = exact_quantiles(long.filter(F.col("n") > 0), ["side", "column"], "value", [0.5], "n")
+    found = _selected(long.filter(F.col("n") > 0), brackets)
     return found.groupBy("column").agg(
-        F.max(F.when(F.col("side") == "o", F.col("quantile"))).alias("median"),
-        F.max(F.when(F.col("side") == "s", F.col("quantile"))).alias("median_s"),
+        *[F.max(F.when(F.col("side") == x, F.col("quantile"))).alias(x) for x in ("median", "median_s")]
     )
 
 
@@ -252,11 +308,11 @@ def structural_report(o: DataFrame, s: DataFrame, roles, dataset: str, method: s
 
     parts = [_long(totals, {"missing_similarity": 1 - F.abs(rate("o") - rate("s"))})]
     if ranged:
-        pair = _paired(o, s, ranged)
+        pair = _paired(o, s, ranged, near=True)
         stats = pair.collect()  # one row per column
         pair = o.sparkSession.createDataFrame(stats, pair.schema)
         bounds = {r["column"]: (r["lo"], r["hi"]) for r in stats}
-        pair = pair.join(_profile_medians(profile, ranged), "column", "left")
+        pair = pair.join(_profile_medians(profile, ranged, _brackets(stats)), "column", "left")
         parts += [
             _long(pair, {**_similarities(("mean", "median", "std")), "range_coverage": _range_coverage()}),
             _profile_adherence(profile, bounds),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinlake.sources.scratch import materialize
+
 
 def null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
     on = None
@@ -59,14 +61,61 @@ def lookup_join(df: DataFrame, on: str, table: DataFrame, key: str, how: str = "
     return df.join(table, df[on].eqNullSafe(table[key]), how).drop(table[key])
 
 
-def mark_exists(syn: DataFrame, orig: DataFrame, cols: list[str], name: str) -> DataFrame:
+HEAVY_SHARE = 1_000
+HEAVY_LEAST = 100_000
+
+
+def heavy_tuples(df: DataFrame, combos: list[list[str]], share: int = HEAVY_SHARE, least: int = HEAVY_LEAST) -> dict:
+    """Per column tuple its value tuples in more than 1/``share`` of all rows (and more than ``least``), if there are any.
+
+    All column tuples are counted in one pass, combined before the shuffle; at most ``share`` tuples each can be
+    that frequent, so each table is small whatever the data.
+    """
+    total = df.count()
+    if total <= least:
+        return {}
+    parts = [F.struct(F.lit(i).alias("i"), F.xxhash64(*cols).alias("h")) for i, cols in enumerate(combos)]
+    counted = df.select(F.inline(F.array(*parts))).groupBy("i", "h").agg(F.count(F.lit(1)).alias("n"))
+    # at most ``share`` hashes a combination
+    often = counted.where(F.col("n") > max(least, total // share)).select("i", "h").collect()
+    out = {}
+    for i, cols in enumerate(combos):
+        hashes = [r["h"] for r in often if r["i"] == i]
+        if hashes:
+            hit = df.where(F.xxhash64(*cols).isin(hashes)).groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
+            out[tuple(cols)] = materialize(hit.where(F.col("__n") > max(least, total // share)).select(*cols))
+    return out
+
+
+def mark_exists(syn: DataFrame, orig: DataFrame, cols: list[str], name: str, heavy: DataFrame | None = None) -> DataFrame:
     """Flag the rows of ``syn`` whose tuple of values occurs in ``orig``.
 
     Tuples are compared column by column with NULL equal to NULL, and the
-    original's tuples are made distinct first, so no row is repeated.
+    original's tuples are made distinct first, so no row is repeated. Tuples in
+    more than a thousandth of the rows (``heavy``, else looked for) are looked
+    up once and answered from a small broadcast table where the rows are; only
+    the other rows are shuffled, so no task gets the rows of a hot tuple.
     """
-    seen = orig.select(*[F.col(c).alias(f"__{c}") for c in cols]).distinct().withColumn("__hit", F.lit(True))
-    on = null_safe(syn, seen, [(c, f"__{c}") for c in cols])
-    joined = syn.join(seen, on, "left")
-    flag = F.coalesce(F.col("__hit"), F.lit(False)).alias(name)
-    return joined.select(*[syn[c] for c in syn.columns], flag)
+    if heavy is None:
+        heavy = heavy_tuples(syn, [cols]).get(tuple(cols))
+    renamed = {c: f"__{c}" for c in cols}
+    seen = orig.select(*[F.col(c).alias(renamed[c]) for c in cols]).distinct()
+    pairs = list(renamed.items())
+    kept = [syn[c] for c in syn.columns]
+    if heavy is None:
+        found = seen.withColumn("__hit", F.lit(True))
+        joined = syn.join(found, null_safe(syn, found, pairs), "left")
+        return joined.select(*kept, F.coalesce(F.col("__hit"), F.lit(False)).alias(name))
+    # at most HEAVY_SHARE rows, so the broadcasts are bounded
+    few = heavy.select(*[F.col(c).alias(f"__h_{c}") for c in cols])
+    asked = [(f"__h_{c}", renamed[c]) for c in cols]
+    sought = orig.join(F.broadcast(few), null_safe(orig, few, [(c, f"__h_{c}") for c in cols]), "left_semi")
+    sought = sought.select(*[F.col(c).alias(renamed[c]) for c in cols]).distinct().withColumn("__hit", F.lit(True))
+    answer = few.join(sought, null_safe(few, sought, asked), "left")
+    answer = materialize(answer.select(*few.columns, F.coalesce(F.col("__hit"), F.lit(False)).alias("__answer")))
+    on = null_safe(syn, answer, [(c, f"__h_{c}") for c in cols])
+    hot = syn.join(F.broadcast(answer), on).select(*kept, F.col("__answer").alias(name))
+    rest = syn.join(F.broadcast(answer), on, "left_anti")
+    found = seen.withColumn("__hit", F.lit(True))
+    cold = rest.join(found, null_safe(rest, found, pairs), "left")
+    return hot.unionByName(cold.select(*[rest[c] for c in syn.columns], F.coalesce(F.col("__hit"), F.lit(False)).alias(name)))

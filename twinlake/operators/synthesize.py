@@ -155,10 +155,10 @@ def fit(
         nodes += [Node(c, "numeric", [c], types[c], grid=grids[c]) for c in numbers]
         coded = coded.withColumns({f"__d_{c}": _bin_of(as_number(df, c), grids[c]) for c in numbers})
     coded = coded.select(*[f"__d_{n.name}" for n in nodes])
-    if method == "tree":
-        nodes = _tree(coded, nodes)
-        coded = coded.persist()
+    coded = coded.persist() if method == "tree" else coded
     try:
+        if method == "tree":
+            nodes = _tree(coded, nodes)
         cells = {}
         for n in nodes:
             by = [] if n.parent is None else [f"__d_{n.parent}"]

@@ -16,20 +16,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinlake.functions.rand import uniform
-from twinlake.functions.values import value_text
+from twinlake.functions.values import texts_of
 from twinlake.operators.rank import global_rank
 from twinlake.sources.scratch import materialize
 
 MODELS = ("tree", "svm", "logreg", "forest")
 
 
-def ordinal_codes(df: DataFrame, cols: list[str], order: list[str]) -> DataFrame:
+def ordinal_codes(df: DataFrame, cols: list[str], order: list[str], like: DataFrame | None = None) -> DataFrame:
     """Codes 1..n per column in order of first appearance: ``column, value, code``; NULL is a category.
 
-    ``order`` must be unique per row.
+    ``order`` must be unique per row. ``like`` is the table that is to get the same codes, if its types may differ.
     """
     first = F.struct(*[F.col(c) for c in order]).alias("__o")
-    pairs = [F.struct(F.lit(c).alias("column"), value_text(df, c).alias("value")) for c in cols]
+    texts = texts_of(df, df if like is None else like, cols)
+    pairs = [F.struct(F.lit(c).alias("column"), texts[c].alias("value")) for c in cols]
     long = df.select(first, F.inline(F.array(*pairs)))
     seen = long.groupBy("column", "value").agg(F.min("__o").alias("__o"))
     ranked, _ = global_rank(seen, "column", "__o", name="__r")
@@ -39,18 +40,20 @@ def ordinal_codes(df: DataFrame, cols: list[str], order: list[str]) -> DataFrame
     return materialize(coded.select("column", "value", (F.col("__r") - F.col("__first") + 1).cast("int").alias("code")))
 
 
-def apply_codes(df: DataFrame, codes: DataFrame, cols: list[str]) -> DataFrame:
-    """Replace each column by its code; values without a code become NULL."""
-    order = df.columns
+def apply_codes(df: DataFrame, codes: DataFrame, cols: list[str], like: DataFrame | None = None) -> DataFrame:
+    """Replace each column by its code; values without a code become NULL. ``like`` is the table the codes are of."""
+    order, texts = df.columns, texts_of(df, df if like is None else like, cols)
     for c in cols:
         mine = codes.filter(F.col("column") == c).select(F.col("value").alias("__v"), F.col("code").alias("__k"))
-        joined = df.join(mine, value_text(df, c).eqNullSafe(F.col("__v")), "left")
+        joined = df.join(mine, texts[c].eqNullSafe(F.col("__v")), "left")
         df = joined.withColumn(c, F.col("__k")).drop("__v", "__k")
     return df.select(*order)
 
 
-def ordinal_encode(df: DataFrame, cols: list[str], order: list[str], codes: DataFrame | None = None) -> DataFrame:
-    return apply_codes(df, ordinal_codes(df, cols, order) if codes is None else codes, cols)
+def ordinal_encode(
+    df: DataFrame, cols: list[str], order: list[str], codes: DataFrame | None = None, like: DataFrame | None = None
+) -> DataFrame:
+    return apply_codes(df, ordinal_codes(df, cols, order, like) if codes is None else codes, cols, like)
 
 
 def prepare_features(
@@ -62,16 +65,18 @@ def prepare_features(
     target_values: list | None = None,
     codes: DataFrame | None = None,
     keep: tuple[str, ...] = (),
+    like: DataFrame | None = None,
 ) -> DataFrame:
     """Rows ready for a classifier: wanted target classes, encoded categories, nothing missing.
 
     Pass the original's ``codes`` to read another table the same way; values the
-    original never had then become NULL and leave.
+    original never had then become NULL and leave. ``like`` is the table on the
+    other side: numbers there and numeric text here then have the same code.
     """
     rows = df if target_values is None else df.filter(F.col(target).isin(*target_values))
     used = list(dict.fromkeys([*keep, *order, *features, target]))
     rows = rows.select(*used)
-    encoded = ordinal_encode(rows, categorical, order, codes)
+    encoded = ordinal_encode(rows, categorical, order, codes, like)
     return encoded.dropna(subset=[*features, target])
 
 
@@ -185,11 +190,12 @@ def utility_report(
     for target in targets:
         coded = list(dict.fromkeys([*[c for c in categorical if c in features], target]))
         base = orig if target_values is None else orig.filter(F.col(target).isin(*target_values))
-        codes = ordinal_codes(base, coded, order)
+        codes = ordinal_codes(base, coded, order, other if share_codes else None)
         for side, df, feats in (("original", orig, features), ("other", other, features_other or features)):
             mine = list(dict.fromkeys([*[c for c in categorical if c in feats], target]))
             use = codes if side == "original" or share_codes else None
-            prepared = materialize(prepare_features(df, feats, target, mine, order, target_values, use))
+            like = (other if side == "original" else orig) if share_codes else None
+            prepared = materialize(prepare_features(df, feats, target, mine, order, target_values, use, like=like))
             for model in models:
                 scores = evaluate(model, prepared, feats, target, order, seed, categorical=mine)
                 parts.append(
