@@ -393,6 +393,26 @@ def _(spark, d):
     return rounded(syn.sample_valid(model, spark, model.rows, [rule], SEED), 4)
 
 
+# Rules over brand, type and size are worked into the model: their 1 in some hundred combinations are drawn directly.
+_RARE = "p_brand LIKE 'Brand#1%' AND p_size < 5 AND length(p_type) % 5 = 1"
+
+
+@add(
+    "syn_conditioned",
+    f"""WITH b AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1), t AS (SELECT p_type, count(*) AS n FROM part GROUP BY 1),
+      z AS (SELECT p_size, count(*) AS n FROM part GROUP BY 1),
+      cells AS (SELECT p_brand, p_type, p_size, b.n * t.n * z.n AS n FROM b, t, z WHERE {_RARE}),
+      runs AS (SELECT *, sum(n) OVER (ORDER BY p_brand, p_type, p_size) AS hi FROM cells),
+      ids AS (SELECT unnest(range(0, 3000)) AS id),
+      spots AS (SELECT id, floor({u_sql('p_brand&p_type&p_size', 'id')} * (SELECT sum(n) FROM cells)::DOUBLE)::HUGEINT AS pos FROM ids)
+      SELECT id, p_brand, p_type, p_size FROM spots JOIN runs ON pos < hi AND pos >= hi - n""",
+)
+def _(spark, d):
+    model = syn.fit(table(spark, d, "part"), _CAT)
+    rules = [con.RowConstraint(r, r) for r in _RARE.split(" AND ")[:2]] + [con.RowConstraint(_RARE, "all")]
+    return syn.sample_valid(model, spark, 3000, rules, SEED)
+
+
 @add("syn_model_roundtrip", _marginals())
 def _(spark, d):
     path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"

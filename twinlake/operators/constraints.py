@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +60,22 @@ class FixedCombinations:
     name: str = "combination"
 
 
+def needed_columns(rule, empty: DataFrame) -> list[str]:
+    """The columns of ``empty`` that a constraint uses."""
+    if isinstance(rule, FixedCombinations):
+        return list(rule.cols)
+
+    def resolves(df: DataFrame) -> bool:
+        try:
+            return bool(df.select(rule.valid().alias("__ok")).columns)
+        except AnalysisException:
+            return False
+
+    if not resolves(empty):
+        raise ValueError(f"{rule.name} uses columns that there are not: {empty.columns}")
+    return [c for c in empty.columns if not resolves(empty.drop(c))]
+
+
 def keep_valid(df: DataFrame, constraints) -> DataFrame:
     """Rows that fulfil every constraint."""
     for c in constraints:

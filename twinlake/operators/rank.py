@@ -136,6 +136,7 @@ def exact_quantiles(
             "prob",
             (1 - F.abs(spot - F.col("__spot"))).alias("__share"),
         )
+        .filter("__share > 0")  # an infinite value times nothing would be NaN
     )
     w = Window.partitionBy(*by, _PID).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     hits = (

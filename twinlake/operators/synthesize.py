@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,24 +18,29 @@ from pyspark.sql import functions as F
 from twinlake.functions.rand import step_lookup, uniform
 from twinlake.operators.aggregate import melt
 from twinlake.operators.association import _with_marginals, joint_counts
-from twinlake.operators.constraints import keep_valid
+from twinlake.operators.constraints import keep_valid, needed_columns
 from twinlake.operators.draw import draw_weighted, value_counts
 from twinlake.operators.fidelity import as_number
-from twinlake.operators.joins import null_safe
+from twinlake.operators.joins import attach, null_safe
 from twinlake.operators.rank import exact_quantiles, global_rank
 from twinlake.sources.scratch import materialize
 
 
+#: Combinations of fitted values that a rule may be looked up in.
+MAX_CELLS = 10_000_000
+
+
 @dataclass
 class Node:
     """One fitted column or fixed combination of columns."""
 
     name: str
-    kind: str  # categorical, numeric or combo
+    kind: str  # categorical, numeric, combo, or joint: nodes (``columns``) that are drawn together
     columns: list[str]
     dtype: str = ""
     parent: str | None = None
     grid: list[float] = field(default_factory=list)
+    given: bool = False  # drawn by a joint node
 
 
 @dataclass
@@ -50,20 +55,124 @@ class Model:
         """One synthetic row per base row; the key column is kept."""
         df = base.select(key)
         for node in self.nodes:
+            if node.given:
+                continue
             by = [] if node.parent is None else [f"__d_{node.parent}"]
             u = uniform(seed, node.name, key)
             df = draw_weighted(df, self.cells[node.name], by, f"__d_{node.name}", u, f"__d_{node.name}")
+            if node.kind == "joint":
+                df = df.join(self.combos[node.name].withColumnRenamed("__idx", f"__d_{node.name}"), f"__d_{node.name}", "left")
         for node in self.nodes:
-            drawn = F.col(f"`__d_{node.name}`")
-            if node.kind == "categorical":
-                df = df.withColumn(node.name, drawn)
-            elif node.kind == "numeric":
-                df = df.withColumn(node.name, _inside_bin(drawn, node, uniform(seed, f"{node.name}/in", key)))
+            if node.kind == "numeric":
+                inside = uniform(seed, f"{node.name}/in", key)
+                df = df.withColumn(node.name, _inside_bin(F.col(f"`__d_{node.name}`"), node, inside))
             else:
-                combos = self.combos[node.name].withColumnRenamed("__idx", f"__d_{node.name}")
-                df = df.join(combos, f"__d_{node.name}", "left")
+                df = self._decoded(df, node)
         return df.select(key, *[c for c in self.columns])
 
+    def _decoded(self, df: DataFrame, node: Node) -> DataFrame:
+        """``df`` with the columns of a node that holds no numbers, from its code."""
+        if node.kind == "categorical":
+            return df.withColumn(node.name, F.col(f"`__d_{node.name}`"))
+        if node.kind == "combo":
+            return df.join(self.combos[node.name].withColumnRenamed("__idx", f"__d_{node.name}"), f"__d_{node.name}", "left")
+        return df
+
+    def conditioned(self, constraints, max_cells: int = MAX_CELLS) -> tuple["Model", list]:
+        """The model under the condition that rules hold, and the constraints that could not be worked in.
+
+        Rules over columns without numbers are applied to the fitted cells: the cells of the columns of a rule, and
+        in a tree of all their ancestors, become one joint table, the combinations that break the rule leave, and
+        draws are made from the rest in proportion. So draws have the model's distribution given the rules, and a
+        rule of one in ten million costs no more draws than any other. A rule over numbers within a bin, or one whose
+        joint table would exceed ``max_cells``, is returned for rejection. A rule that no cell fulfils is an error.
+        """
+        owner = {c: n for n in self.nodes if n.kind in ("categorical", "combo") and not n.given for c in n.columns}
+        linked, groups, left = any(n.parent is not None for n in self.nodes), [], []
+        for rule in constraints:
+            cols = needed_columns(rule, self._empty())
+            if not cols or any(c not in owner for c in cols):
+                left.append(rule)
+                continue
+            names, rules = self._with_ancestors({owner[c].name for c in cols}), [(rule, cols)]
+            if names is None:
+                left.append(rule)
+                continue
+            for other in [g for g in groups if linked or g[0] & names]:
+                groups.remove(other)
+                names, rules = names | other[0], other[1] + rules
+            groups.append((names, rules))
+        model = self
+        for names, rules in groups:
+            joint = model._joined(names, rules, max_cells)
+            if joint is None:
+                left += [r for r, _ in rules]
+            else:
+                model = joint
+        return model, left
+
+    def _empty(self) -> DataFrame:
+        frames = [*self.cells.values(), *self.combos.values()]
+        types = {n.name: n.dtype for n in self.nodes if n.dtype}
+        for n in self.nodes:
+            if n.kind == "combo":
+                types |= {f.name: f.dataType.simpleString() for f in self.combos[n.name].schema if f.name in n.columns}
+        return frames[0].sparkSession.createDataFrame([], ", ".join(f"`{c}` {types[c]}" for c in self.columns))
+
+    def _with_ancestors(self, names: set[str]) -> set[str] | None:
+        """``names`` and all nodes above them; None if a numeric column or a joint node is among them."""
+        by_name, out, todo = {n.name: n for n in self.nodes}, set(), list(names)
+        while todo:
+            node = by_name[todo.pop()]
+            if node.kind not in ("categorical", "combo") or node.given:
+                return None
+            out.add(node.name)
+            if node.parent is not None and node.parent not in out:
+                todo.append(node.parent)
+        return out
+
+    def _joined(self, names: set[str], rules: list, max_cells: int) -> "Model | None":
+        members = [n for n in self.nodes if n.name in names]
+        joint, size, exact, done = None, 1, True, []
+        for node in members:
+            code, cells = f"__d_{node.name}", self.cells[node.name]
+            if node.parent is None:
+                mine = cells.select(code, F.col("__n").cast("double").alias("__w"))
+                levels = mine.count()
+                if size * levels > max_cells:
+                    return None
+                joint = mine if joint is None else _with_each(joint, mine.withColumnRenamed("__w", "__w2"), size < levels)
+            else:
+                exact, up = False, f"__d_{node.parent}"
+                total = cells.groupBy(up).agg(F.sum("__n").alias("__all"))
+                mine = attach(cells, total, [up]).select(F.col(up).alias("__up"), code, (F.col("__n") / F.col("__all")).alias("__w2"))
+                joint = joint.join(mine, joint[up].eqNullSafe(mine["__up"])).drop("__up")
+            if "__w2" in joint.columns:
+                joint = joint.withColumn("__w", F.col("__w") * F.col("__w2")).drop("__w2")
+            joint = self._decoded(joint, node)
+            ready = [(r, cols) for r, cols in rules if r not in done and set(cols) <= set(joint.columns)]
+            if ready:
+                joint = keep_valid(joint, [r for r, _ in ready])
+                done += [r for r, _ in ready]
+            joint = materialize(joint)
+            size = joint.count()
+            if size > max_cells:
+                return None
+        total = joint.agg(F.sum("__w")).first()[0]
+        if not total:
+            raise ValueError("no combination of the fitted values fulfils: " + ", ".join(r.name for r, _ in rules))
+        # products of counts are whole numbers while a double holds them exactly, else shares of 2^50
+        weight = F.col("__w") if exact and total < 2.0**52 else F.greatest(F.lit(1.0), F.round(F.col("__w") / total * 2.0**50))
+        codes = [f"__d_{n.name}" for n in members]
+        ranked, _ = global_rank(joint.select(*codes, weight.cast("long").alias("__n")), *[F.col(c).asc_nulls_first() for c in codes], name="__idx")
+        ranked = materialize(ranked)
+        name = "&".join(n.name for n in members)
+        node = Node(name, "joint", [n.name for n in members])
+        nodes = [node, *[replace(n, given=True, parent=None) if n.name in names else n for n in self.nodes]]
+        cells = {**self.cells, name: materialize(ranked.select(F.col("__idx").alias(f"__d_{name}"), "__n"))}
+        combos = {**self.combos, name: materialize(ranked.select("__idx", *codes))}
+        return Model(nodes, cells, combos, self.columns, self.rows)
+
     def synthesize(self, spark: SparkSession, seed, n: int | None = None, key: str = "id") -> DataFrame:
         """``n`` rows, by default as many as the fitted table had."""
         return self.sample(spark.range(self.rows if n is None else n).withColumnRenamed("id", key), seed, key)
@@ -75,7 +184,7 @@ class Model:
         spark.createDataFrame([(json.dumps(meta),)], "meta string").write.parquet(f"{path}/meta")
         for i, node in enumerate(self.nodes):
             self.cells[node.name].write.parquet(f"{path}/cells_{i}")
-            if node.kind == "combo":
+            if node.kind in ("combo", "joint"):
                 self.combos[node.name].write.parquet(f"{path}/combos_{i}")
 
     @classmethod
@@ -84,11 +193,18 @@ class Model:
         nodes = [Node(**n) for n in meta["nodes"]]
         cells = {n.name: spark.read.parquet(f"{path}/cells_{i}") for i, n in enumerate(nodes)}
         combos = {
-            n.name: spark.read.parquet(f"{path}/combos_{i}") for i, n in enumerate(nodes) if n.kind == "combo"
+            n.name: spark.read.parquet(f"{path}/combos_{i}") for i, n in enumerate(nodes) if n.kind in ("combo", "joint")
         }
         return cls(nodes, cells, combos, meta["columns"], meta["rows"])
 
 
+def _with_each(a: DataFrame, b: DataFrame, a_is_smaller: bool) -> DataFrame:
+    """Rows of ``a`` with each row of ``b``; the smaller side goes as one list, of at most the root of all combinations."""
+    few, many = (a, b) if a_is_smaller else (b, a)
+    listed = few.agg(F.collect_list(F.struct(*few.columns)).alias("__list")).withColumn("__one", F.lit(1))
+    return many.withColumn("__one", F.lit(1)).join(listed, "__one").select(*many.columns, F.inline("__list"))
+
+
 def _inside_bin(bin_no: Column, node: Node, u: Column) -> Column:
     """A uniform value inside a quantile bin, in the column's own type."""
     edges = F.array(*[F.lit(float(x)) for x in node.grid])
@@ -209,9 +325,13 @@ def sample_valid(
 ) -> DataFrame:
     """The first ``n`` sampled rows, by draw number, that fulfil the constraints.
 
+    Rules that can be are worked into the model first (``Model.conditioned``), so that only the others reject draws.
     Draws go on, each round with new draw numbers and as many as the rate so far asks for, until ``n`` rows are
     valid. Rules that the model cannot fulfil end in an error after ``max_draws`` draws.
     """
+    model, constraints = model.conditioned(constraints)
+    if not constraints:
+        return model.synthesize(spark, seed, n, key)
     kept, have, drawn, size = [], 0, 0, max(n, 1000)
     while have < n:
         if drawn >= max_draws:
