@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.common import CUSTOMER_SYN, LINEITEM_SYN, Family, customer_syn, lineitem_syn, table
+from catalog.common import CUSTOMER_SYN, LINEITEM_SYN, SEED, Family, customer_syn, lineitem_syn, table
 from twinlake.operators import fidelity, leakage
 from twinlake.operators.aggregate import rounded
-from twinlake.plans.validate import Validation, validate
+from twinlake.plans.recipe import Recipe
+from twinlake.plans.validate import Validation, measures, validate
 from twinlake.sources.roles import Roles
+from twinlake.sources.scratch import materialize
 
 family = Family()
 add = family.add
@@ -172,7 +174,7 @@ def _(spark, d):
 @add("fid_mixture_loglik")
 def _(spark, d):
     o, s = pair(spark, d)
-    return rounded(fidelity.mixture_loglik(o, s, RANGED, k_candidates=(1, 2)), 3)
+    return rounded(fidelity.mixture_loglik(o, s, RANGED), 3)
 
 
 def _exists(cols):
@@ -288,17 +290,53 @@ def _(spark, d):
         quasi=_COMBOS,
     )
     phases = ("structure", "bivariate", "privacy")
-    got = validate(*pair(spark, d), spec, "customer", "noise", ["c_custkey"], phases)
-    cells = got["bivariate"].groupBy("crosstab").agg(
-        (F.sum(F.abs(F.col("share_original") - F.col("share_synthetic"))) / 2).alias("value")
+    return rounded(measures(validate(*pair(spark, d), spec, "customer", "noise", ["c_custkey"], phases)))
+
+
+@add("plan_validate_all")
+def _(spark, d):
+    """All five phases; the two that fit models have no SQL."""
+    spec = Validation(
+        roles=Roles(continuous=["c_acctbal"], categorical=_CATS),
+        crosstabs=[("c_mktsegment", ["c_nationkey"])],
+        features=["c_acctbal", "c_nationkey"],
+        targets=["c_mktsegment"],
+        models=("tree",),
+        pii=_CHECKS[:2],
+        quasi=_COMBOS,
     )
-    parts = [
-        got["structure"].select(F.lit("structure").alias("phase"), F.col("column").alias("item"), "metric", "value"),
-        cells.select(
-            F.lit("bivariate").alias("phase"), F.col("crosstab").alias("item"), F.lit("tv_distance").alias("metric"), "value"
-        ),
-        got["privacy"].select(
-            F.lit("privacy").alias("phase"), F.col("check").alias("item"), F.lit("share").alias("metric"), F.col("share").alias("value")
-        ),
-    ]
-    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return rounded(measures(validate(*pair(spark, d), spec, "customer", "noise", ["c_custkey"])))
+
+
+@add("plan_anonymise")
+def _(spark, d):
+    """Orders made safe by a recipe: what is left of their anonymity, use and single columns."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    edges, labels = [0, 50_000, 150_000, 300_000, 1_000_000], ["low", "mid", "high", "top"]
+    recipe = Recipe(
+        steps=[
+            {"op": "pseudonymize", "col": "o_custkey", "method": "hash"},
+            {"op": "bin", "col": "o_totalprice", "edges": edges, "labels": labels},
+            {"op": "date", "cols": ["o_orderdate"], "level": "year"},
+            {"op": "suppress_small_groups", "qi": ["o_totalprice", "o_orderdate"], "min_size": 15},
+        ],
+        qi=["o_totalprice", "o_orderdate"],
+        sa={"o_orderpriority": "categorical"},
+    )
+    safe = materialize(recipe.apply(orders, SEED))
+    named = orders.withColumn("o_totalband", F.lit(None).cast("string"))
+    spec = Validation(
+        roles=Roles(categorical=["o_orderstatus", "o_orderpriority", "o_totalband"]),
+        features=["o_totalprice", "o_orderpriority"],
+        features_other=["o_totalband", "o_orderpriority"],
+        targets=["o_orderstatus"],
+        models=("tree",),
+        pii=[["o_custkey"]],
+    )
+    other = safe.withColumnRenamed("o_totalprice", "o_totalband").withColumn("o_totalprice", F.lit(None).cast("double"))
+    got = validate(named, other, spec, "orders", "recipe", ["o_orderkey"], ("applicability", "privacy"), share_codes=False)
+    kept = safe.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("o_totalprice", "o_orderdate").alias("classes"))
+    kept = kept.select(F.inline(F.array(*[F.struct(F.lit("anonymity").alias("phase"), F.lit("class").alias("item"), F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in ("rows", "classes")])))
+    smallest = safe.groupBy("o_totalprice", "o_orderdate").count().agg(F.min("count").cast("double").alias("value"))
+    smallest = smallest.select(F.lit("anonymity").alias("phase"), F.lit("class").alias("item"), F.lit("k").alias("metric"), "value")
+    return rounded(measures(got).unionByName(kept).unionByName(smallest))

@@ -358,7 +358,43 @@ def _(spark, d):
     return syn.fit(o, ["o_custkey"]).sample(o.select("o_orderkey"), SEED, "o_orderkey")
 
 
-@add("syn_tree")
+def _tree_sql():
+    """Mutual information, the spanning tree grown from the first column, and each column drawn given its parent."""
+    probs = ", ".join(f"{i / _BINS!r}" for i in range(_BINS + 1))
+    u = f"(('0x' || substr(md5('{SEED}:' || k.c || ':' || cast({{}} AS VARCHAR)), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0)"
+    covers = "floor({0} * k.total) < k.hi AND floor({0} * k.total) >= k.hi - k.n"
+    ranks = ", ".join(f"dense_rank() OVER (ORDER BY {c}) AS {c}" for c in _CAT)
+    codes = ", ".join(f"max(code) FILTER (col = '{c}') AS {c}" for c in [*_CAT, *_NUM])
+    names = " ".join(f"JOIN (SELECT DISTINCT {c} AS value, dense_rank() OVER (ORDER BY {c}) AS code FROM part) v{i} ON v{i}.code = m.{c}" for i, c in enumerate(_CAT))
+    return f"""WITH RECURSIVE edges AS (SELECT list_sort(list_distinct(quantile_cont(p_retailprice, [{probs}]))) AS g FROM part),
+      src AS (SELECT p_partkey AS id, {ranks}, 1 + len(list_filter(g[2:-2], lambda e: e < p_retailprice)) AS p_retailprice FROM part, edges),
+      long AS ({' UNION ALL '.join(f"SELECT id, '{c}' AS col, {c}::BIGINT AS code FROM src" for c in [*_CAT, *_NUM])}),
+      one AS (SELECT col, code, count(*) AS n FROM long GROUP BY ALL),
+      two AS (SELECT a.col AS p, a.code AS pc, b.col AS c, b.code AS cc, count(*) AS n
+              FROM long a JOIN long b ON a.id = b.id AND a.col <> b.col GROUP BY ALL),
+      info AS (SELECT p, c, sum(t.n / rows * ln(t.n * rows / (x.n * y.n))) AS w FROM two t
+               JOIN one x ON x.col = t.p AND x.code = t.pc JOIN one y ON y.col = t.c AND y.code = t.cc,
+               (SELECT count(*)::DOUBLE AS rows FROM part) GROUP BY ALL),
+      tree AS (SELECT ['p_brand'] AS linked, NULL::VARCHAR AS parent, 'p_brand' AS child
+               UNION ALL
+               SELECT list_append(t.linked, e[3]), e[2], e[3] FROM (
+                 SELECT linked, (SELECT max([printf('%020.15f', w), p, c]) FROM info
+                   WHERE list_contains(linked, p) AND NOT list_contains(linked, c)) AS e FROM tree) t WHERE e IS NOT NULL),
+      cells AS (SELECT NULL::VARCHAR AS p, 0 AS pc, col AS c, code AS cc, n, sum(n) OVER (ORDER BY code) AS hi, sum(n) OVER () AS total
+                FROM one WHERE col = 'p_brand'
+                UNION ALL
+                SELECT p, pc, c, cc, n, sum(n) OVER (PARTITION BY p, c, pc ORDER BY cc), sum(n) OVER (PARTITION BY p, c, pc)
+                FROM two JOIN tree ON p = parent AND c = child),
+      drawn AS (SELECT i.p_partkey AS id, k.c AS col, k.cc AS code FROM part i JOIN cells k ON k.p IS NULL AND {covers.format(u.format('i.p_partkey'))}
+                UNION ALL
+                SELECT s.id, k.c, k.cc FROM drawn s JOIN cells k ON k.p = s.col AND k.pc = s.code AND {covers.format(u.format('s.id'))}),
+      made AS (SELECT id, {codes} FROM drawn GROUP BY id)
+      SELECT m.id AS p_partkey, {', '.join(f'v{i}.value AS {c}' for i, c in enumerate(_CAT))},
+        round(g[m.p_retailprice] + (g[m.p_retailprice + 1] - g[m.p_retailprice]) * {u_sql('p_retailprice/in', 'm.id')}, 4) AS p_retailprice
+      FROM made m {names}, edges"""
+
+
+@add("syn_tree", _tree_sql())
 def _(spark, d):
     return _sampled(fitted(spark, d, "tree"), spark, d)
 

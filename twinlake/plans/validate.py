@@ -181,6 +181,29 @@ def validate(
     return out
 
 
+def measures(got: dict[str, DataFrame]) -> DataFrame:
+    """All phases as one table: phase, item, metric, value.
+
+    Crosstabs count half the summed difference of their cell shares, associations the difference of both sides.
+    """
+    shown = {
+        "structure": lambda df: df.select(F.col("column").alias("item"), "metric", "value"),
+        "bivariate": lambda df: df.groupBy(F.col("crosstab").alias("item")).agg(
+            F.lit("tv_distance").alias("metric"),
+            (F.sum(F.abs(F.col("share_original") - F.col("share_synthetic"))) / 2).alias("value"),
+        ),
+        "whole": lambda df: df.select(
+            F.concat_ws(" x ", "x", "y").alias("item"), F.col("measure").alias("metric"), F.coalesce("difference", "synthetic").alias("value")
+        ),
+        "applicability": lambda df: df.select(
+            F.col("target").alias("item"), F.concat_ws("/", "model", "side", "metric").alias("metric"), "value"
+        ),
+        "privacy": lambda df: df.select(F.col("check").alias("item"), F.lit("share").alias("metric"), F.col("share").alias("value")),
+    }
+    parts = [shown[p](df).select(F.lit(p).alias("phase"), "item", "metric", F.col("value").cast("double")) for p, df in got.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 _VACCINES = ["Tetanus und Diphterie", "Polio", "FSME", "Covid"]
 _DATE, _STAMP = "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss"
 _CASE_DATES = ["date_announced", "date_recovered", "date_of_death", "date_announced_as_removed",
