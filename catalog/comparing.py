@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.common import CUSTOMER_SYN, LINEITEM_SYN, SEED, Family, customer_syn, lineitem_syn, table
+from catalog.common import CUSTOMER_SYN, LINEITEM_SYN, SEED, Family, bin_sql, customer_syn, lineitem_syn, table
 from twinlake.operators import fidelity, leakage
 from twinlake.operators.aggregate import rounded
 from twinlake.plans.recipe import Recipe
@@ -308,35 +308,57 @@ def _(spark, d):
     return rounded(measures(validate(*pair(spark, d), spec, "customer", "noise", ["c_custkey"])))
 
 
-@add("plan_anonymise")
-def _(spark, d):
-    """Orders made safe by a recipe: what is left of their anonymity, use and single columns."""
+_PRICE_EDGES, _PRICE_LABELS = [0, 50_000, 150_000, 300_000, 1_000_000], ["low", "mid", "high", "top"]
+
+
+def safe_orders(spark, d):
+    """Orders and what a recipe makes of them; the coarser price has a column of its own on both sides."""
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
-    edges, labels = [0, 50_000, 150_000, 300_000, 1_000_000], ["low", "mid", "high", "top"]
     recipe = Recipe(
         steps=[
             {"op": "pseudonymize", "col": "o_custkey", "method": "hash"},
-            {"op": "bin", "col": "o_totalprice", "edges": edges, "labels": labels},
+            {"op": "bin", "col": "o_totalprice", "edges": _PRICE_EDGES, "labels": _PRICE_LABELS},
             {"op": "date", "cols": ["o_orderdate"], "level": "year"},
             {"op": "suppress_small_groups", "qi": ["o_totalprice", "o_orderdate"], "min_size": 15},
         ],
         qi=["o_totalprice", "o_orderdate"],
-        sa={"o_orderpriority": "categorical"},
     )
     safe = materialize(recipe.apply(orders, SEED))
-    named = orders.withColumn("o_totalband", F.lit(None).cast("string"))
+    return orders.withColumn("price_band", F.lit(None).cast("string")), safe.withColumnRenamed("o_totalprice", "price_band")
+
+
+@add(
+    "plan_anonymise",
+    f"""WITH safe AS (SELECT band, year, count(*) AS n FROM (
+          SELECT {bin_sql('o_totalprice', _PRICE_EDGES, _PRICE_LABELS)} AS band, year(o_orderdate) AS year FROM orders)
+          GROUP BY 1, 2 HAVING count(*) > 15)
+        SELECT 'anonymity' AS phase, 'class' AS item, 'rows' AS metric, sum(n)::DOUBLE AS value FROM safe
+        UNION ALL SELECT 'anonymity', 'class', 'classes', count(*)::DOUBLE FROM safe
+        UNION ALL SELECT 'anonymity', 'class', 'k', min(n)::DOUBLE FROM safe
+        UNION ALL SELECT 'privacy', 'o_custkey', 'share', 0.0::DOUBLE
+        UNION ALL SELECT 'privacy', 'o_orderkey+o_orderstatus', 'share', 1.0::DOUBLE""",
+)
+def _(spark, d):
+    """What a recipe leaves: rows, classes, the smallest class, and which values still meet the original's."""
+    orders, safe = safe_orders(spark, d)
+    classes = safe.groupBy("price_band", "o_orderdate").agg(F.count(F.lit(1)).alias("n"))
+    counted = {"rows": F.sum("n"), "classes": F.count(F.lit(1)), "k": F.min("n")}
+    rows = [F.struct(F.lit(m).alias("metric"), c.cast("double").alias("value")) for m, c in counted.items()]
+    kept = classes.agg(F.array(*rows).alias("__m")).select(F.lit("anonymity").alias("phase"), F.lit("class").alias("item"), F.inline("__m"))
+    spec = Validation(roles=Roles(), pii=[["o_custkey"]], quasi=[["o_orderkey", "o_orderstatus"]])
+    return rounded(kept.unionByName(measures(validate(orders, safe, spec, "orders", "recipe", ["o_orderkey"], ("privacy",)))))
+
+
+@add("plan_anonymise_use")
+def _(spark, d):
+    """How well the order status is told from the exact price before, and from its band after the recipe."""
+    orders, safe = safe_orders(spark, d)
     spec = Validation(
-        roles=Roles(categorical=["o_orderstatus", "o_orderpriority", "o_totalband"]),
+        roles=Roles(categorical=["o_orderstatus", "o_orderpriority", "price_band"]),
         features=["o_totalprice", "o_orderpriority"],
-        features_other=["o_totalband", "o_orderpriority"],
+        features_other=["price_band", "o_orderpriority"],
         targets=["o_orderstatus"],
         models=("tree",),
-        pii=[["o_custkey"]],
     )
-    other = safe.withColumnRenamed("o_totalprice", "o_totalband").withColumn("o_totalprice", F.lit(None).cast("double"))
-    got = validate(named, other, spec, "orders", "recipe", ["o_orderkey"], ("applicability", "privacy"), share_codes=False)
-    kept = safe.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("o_totalprice", "o_orderdate").alias("classes"))
-    kept = kept.select(F.inline(F.array(*[F.struct(F.lit("anonymity").alias("phase"), F.lit("class").alias("item"), F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in ("rows", "classes")])))
-    smallest = safe.groupBy("o_totalprice", "o_orderdate").count().agg(F.min("count").cast("double").alias("value"))
-    smallest = smallest.select(F.lit("anonymity").alias("phase"), F.lit("class").alias("item"), F.lit("k").alias("metric"), "value")
-    return rounded(measures(got).unionByName(kept).unionByName(smallest))
+    safe = safe.withColumn("o_totalprice", F.lit(None).cast("double"))
+    return rounded(measures(validate(orders, safe, spec, "orders", "recipe", ["o_orderkey"], ("applicability",), share_codes=False)))
