@@ -28,7 +28,7 @@ BLANK = 32
 
 def _folding() -> np.ndarray:
     """Lower-case letter for each code point below 65536, blank for anything else; higher letters share one code."""
-    cache = kept()
+    cache = kept("langid")
     if "folding" not in cache:
         table = np.full(65_536, BLANK, np.uint16)
         for c in range(65_536):
@@ -78,7 +78,7 @@ def _count(batches):
             for text in texts:
                 held.append(grams(fold(text)))
                 size += len(held[-1])
-                if size > 2_000_000:
+                if size > 750_000:
                     yield _tally(lang, held)
                     held, size = [], 0
             if held:
@@ -194,7 +194,7 @@ class LanguageModel:
         )
 
 
-def _portions(texts, most: int = 1_500_000):
+def _portions(texts, most: int = 750_000):
     a, parts, letters, size = 0, [], [], 0
     for k, text in enumerate(texts):
         codes = fold(text)

@@ -8,7 +8,9 @@ token is shuffled: the only table that meets in one place has one row per partit
 
 from __future__ import annotations
 
+import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +24,13 @@ from twinlake.sources.scratch import materialize
 
 from .workers import give_back, kept
 
-KEPT_PIECES = 150_000
-PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Chunks and words whose ids a worker remembers between tasks; those not used lately are forgotten first.
+KEPT_PIECES = 200_000
 SLICE_BYTES = 4 << 20
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'"
+#: Latin-1 letters: a run of them is one word for certain, whatever their case, and so is what follows of punctuation.
+LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha())
+_WORD = re.compile(f"[{LETTERS}]+")
 
 
 class WordIds:
@@ -48,64 +54,76 @@ class WordIds:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, self.dtype)
-        self.used = 0
-        self.starts, self.lengths = [], []
+        self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
+        self.starts, self.lengths, self.lately = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, bool)
+        self._remember([""], np.zeros(0, self.dtype), np.zeros(1, np.int64))
 
-    def _remember(self, piece: str, ids: np.ndarray) -> None:
+    def _remember(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Add pieces whose ids stand end to end."""
+        at, n = len(self.known), len(pieces)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while at + n > len(self.starts):
+            self.starts, self.lengths, self.lately = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.lately))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.known[piece] = len(self.starts)
-        self.starts.append(self.used)
-        self.lengths.append(len(ids))
+        self.starts[at : at + n] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[at : at + n] = lengths
+        self.known.update(zip(pieces, range(at, at + n)))
         self.used += len(ids)
 
+    def _forget(self) -> None:
+        """Keep what was used since the last time, if that is less than half of what may be kept."""
+        old = [(p, i) for p, i in self.known.items() if self.lately[i] and p]
+        flat, starts, lengths = self.flat, self.starts, self.lengths
+        self.clear()
+        if old and 2 * len(old) <= KEPT_PIECES:
+            at = np.array([i for _, i in old])
+            self._remember([p for p, _ in old], _gather(flat, starts[at], lengths[at]), lengths[at])
+
     def learn(self, words: list[str], others: list[str]) -> None:
         """Encode words (one token sequence with one word end each) joined by spaces, the rest one by one."""
         groups = [words[i : i + 2000] for i in range(0, len(words), 2000)]
         for group, got in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(got.ids, self.dtype)
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(group) or (len(ids) and cuts[-1] != len(ids)):
+            if len(cuts) == len(group) and cuts[-1] == len(ids):
+                self._remember(group, ids, np.diff(cuts, prepend=0))
+            else:
                 others = [*others, *group]
-                continue
-            for word, part in zip(group, np.split(ids, cuts[:-1])):
-                self._remember(word, part)
         for k in range(0, len(others), 2000):
             part = others[k : k + 2000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self._remember(word, np.array(got.ids, self.dtype))
-
-    def pieces(self, chunk: str) -> tuple[str, ...]:
-        """A chunk as letters and trailing marks where the tokenizer is sure to split it so, else whole."""
-        if chunk.isalpha():
-            return (chunk,)
-        letters = chunk.rstrip(PUNCTUATION)
-        if letters and letters.isalpha():
-            return letters, chunk[len(letters) :]
-        return (chunk,)
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            self._remember(part, np.array(list(chain.from_iterable(found)), self.dtype), np.array(list(map(len, found)), np.int64))
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where the ids of each piece stand; unknown ones are learned."""
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        fresh = [p for p in distinct if p not in self.known]
+        if fresh:
+            self.learn([p for p in fresh if _WORD.fullmatch(p)], [p for p in fresh if not _WORD.fullmatch(p)])
+        at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        self.lately[at] = True
+        return at[coded.indices.to_numpy(zero_copy_only=False)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of ids of each text."""
         if len(self.known) > KEPT_PIECES:
-            self.clear()
-        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+            self._forget()
+        # added tokens are matched before lower-casing, so texts that may hold some are not lower-cased here
+        added = pc.any(pc.match_substring(texts, "<|")).as_py()
+        split = pc.ascii_split_whitespace(texts if added else pc.ascii_lower(texts))
         coded = split.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        parts = [self.pieces(c) if c else () for c in chunks]
-        fresh = {p: None for ps in parts for p in ps if p not in self.known}
-        self.learn([p for p in fresh if p.isalpha()], [p for p in fresh if not p.isalpha()])
-        index = np.fromiter((self.known[p] for ps in parts for p in ps), np.int64)
-        per_chunk = np.fromiter(map(len, parts), np.int64, len(parts))
-        starts, lengths = np.array(self.starts, np.int64)[index], np.array(self.lengths, np.int64)[index]
-        flat = _gather(self.flat, starts, lengths)
-        chunk_sizes = _sums(lengths, per_chunk)
-        chunk_starts = np.cumsum(chunk_sizes) - chunk_sizes
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        sizes = chunk_sizes[codes]
-        ids = _gather(flat, chunk_starts[codes], sizes)
-        return ids, _sums(sizes, pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        # a chunk of letters with punctuation behind it is two pieces, any other chunk is one
+        head = pc.utf8_rtrim(coded.dictionary, characters=PUNCTUATION)
+        shaped = pc.equal(pc.utf8_ltrim(head, characters=LETTERS), "")
+        word = self._places(pc.if_else(shaped, head, coded.dictionary))
+        rest = self._places(pc.if_else(shaped, pc.utf8_ltrim(coded.dictionary, characters=LETTERS), ""))
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        at = np.stack([word[code], rest[code]], 1).ravel()
+        sizes = self.lengths[at]
+        ids = _gather(self.flat, self.starts[at], sizes)
+        return ids, _sums(sizes, 2 * pc.list_value_length(split).to_numpy(zero_copy_only=False))
 
 
 def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -131,7 +149,7 @@ def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
 
 def word_ids(path: str) -> WordIds:
     """The worker's own encoder: Python workers live longer than tasks, so the vocabulary is read once."""
-    cache = kept()
+    cache = kept("packing")
     if path not in cache:
         cache[path] = WordIds(path)
     return cache[path]
@@ -178,8 +196,6 @@ def _tokenize(vocabulary: str, end_id: int):
                 )
                 del text, ids, raw, blobs
                 give_back()
-        words.clear()
-        give_back()
 
     return run
 

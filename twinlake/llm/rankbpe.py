@@ -198,10 +198,10 @@ def _offsets(sizes: np.ndarray) -> np.ndarray:
 def _encoder(vocabulary: str) -> RankBpe:
     import public_tokenizers
 
-    cache, key = kept(), ("rank array", vocabulary)
-    if key not in cache:
-        cache[key] = RankBpe(public_tokenizers.path(vocabulary))
-    return cache[key]
+    cache = kept("rankbpe")
+    if vocabulary not in cache:
+        cache[vocabulary] = RankBpe(public_tokenizers.path(vocabulary))
+    return cache[vocabulary]
 
 
 def _encoded(vocabulary: str):

@@ -27,13 +27,15 @@ from twinlake.sources.scratch import materialize
 from .common import salted_left_join
 from .workers import kept
 
+#: Bytes of the runs of one anchor beyond which it is cut again by a longer gram.
+BUSY_BYTES = 8_000_000
 SHARD_BYTES = 1 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
 def _tables(n: int):
     """Random byte values and powers of the multiplier and its inverse, up to n."""
-    cache = kept()
+    cache = kept("repeats")
     got = cache.get("repeat_powers")
     if got is None or len(got[1]) < n:
         size = max(n, 1 << 16)
@@ -300,8 +302,14 @@ def repeated_windows(texts: DataFrame, length: int, grams: tuple[int, ...], heav
     wanted = wanted.groupBy("doc").agg(F.collect_list("w").alias("wanted"))
     pieces = texts.join(wanted, "doc").mapInPandas(_cut_runs(length), "anchor long, own long, kinds long, bytes binary")
     pieces = materialize(pieces.dropDuplicates(["anchor", "own"]))
-    busy = pieces.where(F.col("kinds") > heavy) if len(grams) > 1 else pieces.where("false")
-    small = pieces.where(F.col("kinds") <= heavy) if len(grams) > 1 else pieces
+    if len(grams) > 1:
+        # an anchor is busy by the number of its runs or by their bytes
+        large = pieces.groupBy("anchor").agg(F.sum(F.length("bytes")).alias("__b")).where(F.col("__b") > BUSY_BYTES)
+        marked = salted_left_join(pieces, materialize(large), "anchor", F.col("own"))
+        is_busy = (F.col("kinds") > heavy) | F.col("__b").isNotNull()
+        busy, small = marked.where(is_busy).drop("__b"), marked.where(~is_busy).drop("__b")
+    else:
+        busy, small = pieces.where("false"), pieces
     total = small.agg(F.sum(F.length("bytes")).alias("b")).first()["b"] or 0
     n_shards = max(1, -(-total // SHARD_BYTES))
     sharded = small.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(n_shards)).cast("int"))

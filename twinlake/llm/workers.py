@@ -7,9 +7,19 @@ import sys
 import types
 
 
-def kept() -> dict:
-    """A dictionary that lives as long as the worker process; for tables and caches that any task can rebuild."""
-    return sys.modules.setdefault("_twinlake_llm_kept", types.ModuleType("_twinlake_llm_kept")).__dict__
+def kept(owner: str) -> dict:
+    """A dictionary that lives as long as the worker process; for tables and caches that any task can rebuild.
+
+    Workers live on from stage to stage, so what another operator (``owner``) left in it is given back first.
+    """
+    held = sys.modules.setdefault("_twinlake_llm_kept", types.ModuleType("_twinlake_llm_kept"))
+    if getattr(held, "owner", owner) != owner:
+        held.cache.clear()
+        give_back()
+    held.owner = owner
+    if not hasattr(held, "cache"):
+        held.cache = {}
+    return held.cache
 
 
 def give_back() -> None:
