@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinlake.sources.scratch import materialize
+from twinlake.sources.scratch import materialize, scope
 
 SALTS = 16
 SMALL = 10_000
@@ -17,6 +18,54 @@ def numbered(df: DataFrame, name: str = "__row") -> DataFrame:
     return materialize(df.withColumn(name, F.monotonically_increasing_id()))
 
 
+def located(df: DataFrame, name: str = "__row") -> DataFrame:
+    """``df`` with a key per row that is the same in every scan: its file and its place in it.
+
+    Nothing is written if ``df`` reads Parquet files without joins or groupings; other frames are written first.
+    """
+    if _scans_files(df):
+        at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+        return df.select("*", at.alias(name))
+    at = F.struct(F.lit("").alias("file"), F.col(name).alias("at"))
+    return numbered(df, name).withColumn(name, at)
+
+
+def _scans_files(df: DataFrame) -> bool:
+    """Whether ``df`` is columns and rows picked from Parquet files, each row at most once."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    try:
+        return node.nodeName() == "LogicalRelation" and bool(df.select("_metadata.row_index").columns)
+    except AnalysisException:
+        return False
+
+
+def bits_for(rows: int) -> int:
+    """Bits (as a power of two) of a set in which few of ``rows`` keys meet; bounded, so that it can be broadcast."""
+    return min(25, max(16, (16 * rows).bit_length()))
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is not in ``gone`` (a written table of keys, each in one row of ``rows`` at most).
+
+    A bit set of bounded size lets most rows pass where they are; only rows whose bit is set are shuffled.
+    """
+    bits = bits_for(gone.count())
+    table = key_bits(gone.select(F.xxhash64(key).alias("__k")), "__k", bits)
+    marked = with_bit(rows, F.xxhash64(key), table, bits, "__in")
+    maybe = marked.where("__in").drop("__in").join(gone.select(key), key, "left_anti")
+    return marked.where("NOT __in").drop("__in").unionByName(maybe)
+
+
+def within(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is in ``wanted`` (a written table of keys); rows whose bit is not set are not shuffled."""
+    bits = bits_for(wanted.count())
+    table = key_bits(wanted.select(F.xxhash64(key).alias("__k")), "__k", bits)
+    marked = with_bit(rows, F.xxhash64(key), table, bits, "__in")
+    return marked.where("__in").drop("__in").join(wanted.select(key), key, "left_semi")
+
+
 def key_bits(keys: DataFrame, key: str, bits: int) -> DataFrame:
     """The 64-bit hashes in ``key`` as a bit set: at most 2^(bits-6) rows (word, mask), however many keys there are.
 
@@ -61,8 +110,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs every node on its smallest neighbour, follows the pointers to their roots and contracts
     the edges, so the number of rounds grows with the logarithm of the longest chain. Nothing is collected
-    but counts; each round's tables are written to the shared folder.
+    but counts; each round's tables are written to the shared folder and deleted at the end.
     """
+    with scope(edges.sparkSession) as own:
+        return own.keep(_components(edges))
+
+
+def _components(edges: DataFrame) -> DataFrame:
     left = materialize(
         edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     )

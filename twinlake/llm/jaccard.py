@@ -15,16 +15,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinlake.sources.scratch import materialize
+from twinlake.sources.scratch import materialize, scope
 
 from .blocks import meeting_pairs, shards, units
-from .common import components, salted_left_join
+from .common import bits_for, components, key_bits, located, salted_left_join, with_bit
 from .simhash import WORD
 from .workers import give_back
 
 BANDS, DEPTH = 40, 8
 #: Bytes of shingle sets that go to one task when cells are compared pair by pair.
 SHARD_BYTES = 8_000_000
+#: Members of a cell's smallest row that one task compares with it.
+STAR = 1_000
 
 
 def shingles(text: str | None, size: int = 5, seed: int = 42) -> np.ndarray:
@@ -143,48 +145,71 @@ def near_texts(
     smallest id reachable, NULL only if all ids are; ``kept`` is true for one row of each component (smallest id, then
     row number). NULL, empty and blank texts are alike. Other columns are ignored; an empty table gives no rows.
     """
-    rows = docs.select(
-        F.col(id_col).alias("__id"), *[F.col(c).alias(f"__c_{i}") for i, c in enumerate(carry)], F.col(text_col).alias("__text")
+    with scope(docs.sparkSession) as own:
+        return own.keep(_near_texts(docs, id_col, text_col, carry, size, least))
+
+
+def _near_texts(docs, id_col, text_col, carry, size, least) -> DataFrame:
+    carried = [f"__c_{i}" for i in range(len(carry))]
+    rows = located(docs, "__place").select(
+        "__place", F.col(id_col).alias("__id"), *[F.col(c).alias(n) for c, n in zip(carry, carried)], F.col(text_col).alias("__text")
     )
-    rows = materialize(rows.withColumn("__row", F.monotonically_increasing_id()))
-    bands = materialize(rows.select(F.col("__row").alias("id"), _cells(size)("__text").alias("cells")))
-    bands = bands.select("id", F.explode("cells").alias("cell"))
+    # the texts themselves are never written: a row number goes with each row's place in its file
+    slim = rows.withColumns({"id": F.monotonically_increasing_id(), "cells": _cells(size)("__text")}).drop("__text")
+    slim = materialize(slim)
+    bands = slim.select("id", F.explode("cells").alias("cell"))
     heads = bands.groupBy("cell").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     heads = materialize(heads.select("cell", "head"))
     members = materialize(salted_left_join(bands, heads, "cell", F.col("id")).where("head IS NOT NULL"))
 
     # the shingles of texts that share a cell, once
     met = materialize(members.select("id").distinct())
-    sets = rows.select(F.col("__row").alias("id"), "__text").join(met, "id", "left_semi")
-    sets = materialize(sets.select("id", _sets(size)("__text").alias("found")))
-
-    stars = members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    one = stars.join(sets.select(F.col("id").alias("b"), F.col("found").alias("__y")), "b")
-    leaders = materialize(sets.join(heads.select(F.col("head").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("a"), F.col("found").alias("__x")))
-    both = salted_left_join(one, leaders, "a", F.col("b"))
+    met = materialize(slim.select("id", "__place").join(met, "id", "left_semi"))
+    bits = bits_for(met.count())
+    key = F.xxhash64("__place")
+    marked = with_bit(rows.select("__place", "__text"), key, key_bits(met.select(key.alias("__k")), "__k", bits), bits, "__in")
+    sets = marked.where("__in").select("__place", _sets(size)("__text").alias("found"))
+    sets = materialize(sets.join(met, "__place").select("id", "found"))
+
+    stars = materialize(members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
+    copies = stars.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("__parts"))
+    copies = materialize(copies)
+    part = F.pmod(F.xxhash64("b"), F.col("__parts")).cast("int")
+    asked = salted_left_join(stars, copies, "a", F.col("b")).select("a", "b", part.alias("part"))
+    asked = asked.join(sets.select(F.col("id").alias("b"), F.col("found").alias("__y")), "b")
+    leaders = copies.join(sets.select(F.col("id").alias("a"), F.col("found").alias("__x")), "a")
+    leaders = leaders.select("a", "__x", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("part"))
+    both = asked.join(leaders.hint("merge"), ["a", "part"])
     linked = materialize(both.where(_alike(least)("__x", "__y")).select("a", "b"))
 
     roots = materialize(components(linked))
     placed = salted_left_join(members.select("cell", "id"), roots.withColumnRenamed("node", "id"), "id", F.col("cell"))
     placed = materialize(placed.select("cell", "id", F.coalesce("root", "id").alias("comp")))
-    mixed = placed.groupBy("cell").agg(F.min("comp").alias("__low"), F.max("comp").alias("__high")).where("__low < __high")
-    left = salted_left_join(placed, materialize(mixed.select("cell", F.lit(True).alias("__mixed"))), "cell", F.col("id"))
-    left = left.where("__mixed").select("cell", "id", "comp").join(sets, "id")
-    cut = materialize(units(left, block=128))
+    mark = F.xxhash64("id")
+    kinds = placed.groupBy("cell").agg(
+        F.min("comp").alias("__low"),
+        F.max("comp").alias("__high"),
+        F.struct(F.count(F.lit(1)), F.min("id"), F.max("id"), F.bit_xor(mark), F.bit_xor(F.xxhash64(mark))).alias("__who"),
+    )
+    # the same members meet in many cells: one of those is enough
+    mixed = kinds.where("__low < __high").groupBy("__who").agg(F.min("cell").alias("cell"))
+    mixed = materialize(mixed.select("cell", F.lit(True).alias("__mixed")))
+    left = salted_left_join(placed, mixed, "cell", F.col("id")).where("__mixed").select("cell", "id", "comp")
+    cut = materialize(units(left, block=128).join(sets, "id"))
     total = cut.agg(F.sum(F.length("found")).alias("n")).first()["n"] or 0
     more = shards(cut, total, SHARD_BYTES).groupBy("shard").applyInPandas(_pairs(least), "a long, b long")
     links = materialize(linked.unionByName(more))
 
     roots = components(links)
-    named = rows.select("__id", F.col("__row"), *[f"__c_{i}" for i in range(len(carry))])
-    known = materialize(named.join(roots, F.col("__row") == F.col("node"), "left").withColumn("__root", F.coalesce("root", "__row")).drop("node", "root"))
+    known = slim.drop("cells", "__place").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    known = materialize(known.withColumn("__root", F.coalesce("root", "id")).drop("root"))
     # NULL ids sort last, as in min()
-    smallest = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row")))
+    smallest = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("id").alias("row")))
     best = materialize(known.groupBy("__root").agg(smallest.alias("__best")))
-    out = salted_left_join(known, best, "__root", F.col("__row"))
+    out = salted_left_join(known, best, "__root", F.col("id"))
     return out.select(
         F.col("__id").alias(id_col),
-        *[F.col(f"__c_{i}").alias(c) for i, c in enumerate(carry)],
+        *[F.col(n).alias(c) for c, n in zip(carry, carried)],
         F.col("__best.id").alias("component_id"),
-        (F.col("__row") == F.col("__best.row")).alias("kept"),
+        (F.col("id") == F.col("__best.row")).alias("kept"),
     )
