@@ -99,11 +99,12 @@ def near_vectors(vectors: dict, least=0.9) -> dict:
         if v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v):
             x = np.array(v, float)
             sound[k] = x / np.sqrt((x * x).sum())
-    ids = sorted(sound)
-    x = np.array([sound[k] for k in ids])
     links = []
-    for i in range(len(ids)):
-        links += [(ids[i], ids[i + 1 + j]) for j in np.flatnonzero(x[i + 1 :] @ x[i] >= least)]
+    for size in {len(v) for v in sound.values()}:
+        ids = sorted(k for k in sound if len(sound[k]) == size)
+        x = np.array([sound[k] for k in ids])
+        for i in range(len(ids)):
+            links += [(ids[i], ids[i + 1 + j]) for j in np.flatnonzero(x[i + 1 :] @ x[i] >= least)]
     n = Counter(k for pair in links for k in pair)
     root = closure(vectors, links)
     return {k: (n[k], root[k], root[k] == k) for k in vectors}
@@ -156,3 +157,51 @@ def spelling(texts: list, least_count=3) -> dict:
         return root(out[w][0]) if out[w][0] else w
 
     return {w: (form, root(w), *rest) for w, (form, *rest) in out.items()}
+
+
+def kneser_ney(texts: list[str]):
+    """Bits per character of a text under an interpolated Kneser-Ney model of order 4, by dictionaries."""
+
+    def grams(text):
+        letters = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text or "")
+        folded = "  " + re.sub(" +", " ", f" {letters} ")
+        found = [folded[k : k + 4] for k in range(len(folded) - 3)]
+        return found or ["    "]
+
+    levels = {4: Counter(g for t in texts for g in grams(t))}
+    for k in (3, 2, 1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    total, kinds, discount = {}, {}, {}
+    for k, counts in levels.items():
+        total[k], kinds[k] = Counter(), Counter()
+        for g, n in counts.items():
+            total[k][g[:-1]] += n
+            kinds[k][g[:-1]] += 1
+        ones, twos = (sum(n == x for n in counts.values()) for x in (1, 2))
+        discount[k] = ones / (ones + 2 * twos) if ones else 0.5
+
+    def probability(gram, k):
+        if k == 0:
+            return 1 / (len(levels[1]) + 1)
+        g, lower = gram[-k:], probability(gram, k - 1)
+        t = total[k][g[:-1]]
+        return (max(levels[k][g] - discount[k], 0) if levels[k][g] else 0) / t + discount[k] * kinds[k][g[:-1]] / t * lower if t else lower
+
+    return lambda text: -sum(np.log2(probability(g, 4)) for g in grams(text)) / len(grams(text))
+
+
+def attention(model, text) -> float:
+    """The score of one text, passage by passage, unit by unit."""
+    from twinlake.llm import quality
+
+    x, _ = quality.encode([text])
+    p, squash = model.params, lambda v: 1 / (1 + np.exp(-v))
+    hidden, weights = [], []
+    for passage in x:
+        seen = [(float(v) - float(m)) * float(s) for v, m, s in zip(passage, model.mean, model.scale)]
+        h = [np.tanh(sum(v * float(w) for v, w in zip(seen, column)) + float(b)) for column, b in zip(p["W"].T, p["bw"])]
+        gate = lambda k: [sum(a * float(w) for a, w in zip(h, column)) for column in p[k].T]  # noqa: B023, E731
+        weights.append(np.exp(sum(np.tanh(a) * squash(b) * float(w) for a, b, w in zip(gate("V"), gate("U"), p["w"]))))
+        hidden.append(h)
+    mixed = [sum(w * h[k] for w, h in zip(weights, hidden)) / sum(weights) for k in range(len(hidden[0]))]
+    return float(squash(sum(z * float(c) for z, c in zip(mixed, p["c"])) + float(p["b"])))

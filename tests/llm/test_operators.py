@@ -263,12 +263,13 @@ def test_near_vectors(spark):
         x = np.array(rows[i % 40])
         rows[i] = (x + 0.09 * np.linalg.norm(x) / 5 * rng.standard_normal(24)).tolist()
     rows |= {i: rows[3] for i in range(320, 360)} | {i: [2 * v for v in rows[4]] for i in range(360, 370)}
-    rows |= {400: None, 401: [], 402: [0.0] * 24, 403: [float("nan")] * 24, 404: [None] * 24, 405: [float("inf")] * 24, 406: [1.0]}
-    want = plain.near_vectors({k: np.array(v, np.float32).tolist() if v and None not in v else v for k, v in rows.items() if k != 406})
+    rows |= {400: None, 401: [], 402: [0.0] * 24, 403: [float("nan")] * 24, 404: [None] * 24, 405: [float("inf")] * 24}
+    # other lengths, one of them with a group of its own
+    rows |= {406: [1.0], 407: [2.0], 408: [-1.0], 409: [1.0, 0.0], 410: [1.0, 0.1], 411: [0.0, 1.0], 412: [0.5] * 23}
+    want = plain.near_vectors({k: np.array(v, np.float32).tolist() if v and None not in v else v for k, v in rows.items()})
     out = crosspoly.near_vectors(vectors(spark, [(k, v, 1) for k, v in rows.items()])).collect()
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in out}
-    assert got.pop(406) == (0, 406, True)
-    assert got == want
+    assert got == want and got[407] == (1, 406, False) and got[410] == (1, 409, False)
     assert crosspoly.near_vectors(vectors(spark, [])).count() == 0
     twins = crosspoly.near_vectors(vectors(spark, [(1, [1.0, 0.0], 1), (1, [1.0, -0.0], 1), (None, [0.0, 1.0], 1)])).collect()
     assert sorted(r["n_links"] for r in twins) == [0, 1, 1]

@@ -11,7 +11,8 @@ meet in several cells; it counts only in the first table and cell in which both
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -97,25 +98,32 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def hashed(classes: DataFrame, lsh: CrossPolytope) -> DataFrame:
+def hashed(classes: DataFrame, lsh_of: Callable[[int], CrossPolytope]) -> DataFrame:
+    """The cells of each vector; vectors of different lengths never share a cell."""
+
     def run(batches):
         for pdf in batches:
             for lo in range(0, len(pdf), 2_000):
-                part = pdf.iloc[lo : lo + 2_000]
-                codes = lsh.codes(_unit(_matrix(part["vector"], lsh.dim)))
-                n, per = len(part), codes.shape[1] * codes.shape[2]
-                at = np.repeat(np.arange(n), per)
-                yield pd.DataFrame(
-                    {
-                        "cell": codes.reshape(-1),
-                        "id": part["id"].to_numpy()[at],
-                        "copies": part["copies"].to_numpy()[at],
-                        "probe": np.tile(np.arange(codes.shape[2]) > 0, n * codes.shape[1]),
-                        "vector": part["vector"].to_numpy()[at],
-                    }
-                )
-
-    return classes.mapInPandas(run, "cell long, id long, copies long, probe boolean, vector binary")
+                for dim, part in _by_length(pdf.iloc[lo : lo + 2_000]):
+                    codes = lsh_of(dim).codes(_unit(_matrix(part["vector"], dim)))
+                    n, per = len(part), codes.shape[1] * codes.shape[2]
+                    at = np.repeat(np.arange(n), per)
+                    yield pd.DataFrame(
+                        {
+                            "cell": codes.reshape(-1) * 0x10001 + dim,
+                            "id": part["id"].to_numpy()[at],
+                            "copies": part["copies"].to_numpy()[at],
+                            "probe": np.tile(np.arange(codes.shape[2]) > 0, n * codes.shape[1]),
+                        }
+                    )
+
+    return classes.mapInPandas(run, "cell long, id long, copies long, probe boolean")
+
+
+def _by_length(pdf: pd.DataFrame):
+    sizes = pdf["vector"].map(len) // 8
+    for dim in np.unique(sizes):
+        yield int(dim), pdf[sizes == dim]
 
 
 def _first_meeting(codes_a: np.ndarray, codes_b: np.ndarray) -> np.ndarray:
@@ -127,10 +135,15 @@ def _first_meeting(codes_a: np.ndarray, codes_b: np.ndarray) -> np.ndarray:
     return np.where(in_a[rows, table], codes_a[rows, table, 0], codes_b[rows, table, 0])
 
 
-def verifier(lsh: CrossPolytope, least: float):
+def verifier(lsh_of: Callable[[int], CrossPolytope], least: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [one_length(lsh_of(dim), dim, part) for dim, part in _by_length(pdf)]
+        give_back()
+        return pd.concat(parts, ignore_index=True)
+
+    def one_length(lsh: CrossPolytope, dim: int, pdf: pd.DataFrame) -> pd.DataFrame:
         ids, copies, cell = (pdf[c].to_numpy() for c in ("id", "copies", "cell"))
-        unit = _unit(_matrix(pdf["vector"], lsh.dim))
+        unit = _unit(_matrix(pdf["vector"], dim))
         columns = [pdf[c].to_numpy() for c in ("cell", "lo", "hi", "own", "id", "probe")]
         nodes, counts, edges_a, edges_b = [], [], [], []
         for i, j in meeting_pairs(*columns, most=200_000):
@@ -144,14 +157,13 @@ def verifier(lsh: CrossPolytope, least: float):
                 codes = lsh.codes(unit[used])
                 first = _first_meeting(codes[back[: len(a)]], codes[back[len(a) :]])
                 # the rows of a pair may stand here twice, as own code and as probe, but own codes are unique
-                once = first == cell[a]
+                once = first * 0x10001 + dim == cell[a]
                 a, b = a[once], b[once]
                 nodes += [ids[a], ids[b]]
                 counts += [copies[b], copies[a]]
                 x, y = spanning(ids[a], ids[b])
                 edges_a.append(x)
                 edges_b.append(y)
-        give_back()
         if not nodes:
             return pd.DataFrame({"id": [], "links": [], "other": []}).astype("int64")
         own = pd.DataFrame({"id": np.concatenate(nodes), "links": np.concatenate(counts)}).groupby("id", as_index=False)["links"].sum()
@@ -169,8 +181,8 @@ def near_vectors(
     """One row per row of ``rows``: id, n_links, component_id, kept.
 
     Links join rows whose vectors have a cosine of ``least`` or more. Vectors that are NULL, empty, zero or hold NULL
-    or non-finite components have no link and are components of their own, as are all vectors whose length is not
-    that of ``lsh`` (by default the most frequent length). component_id is the smallest id reachable. Rows that share
+    or non-finite components have no link and are components of their own; vectors of different lengths are never
+    linked. ``lsh`` sets tables, hashes, probes and seed for every length. component_id is the smallest id reachable. Rows that share
     id and vector are linked copies. Other columns are ignored.
     """
     vector = F.transform(F.col(vector_col), lambda v: v.cast("double"))
@@ -178,13 +190,14 @@ def near_vectors(
         vector, lambda v: v != 0
     )
     base = rows.select(F.col(id_col).alias("__id"), F.when(F.coalesce(sound, F.lit(False)), vector).alias("__v"))
-    if lsh is None:
-        common = base.where("__v IS NOT NULL").groupBy(F.size("__v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-        lsh = CrossPolytope(common["d"] if common else 1)
+    how = lsh or CrossPolytope(1)
+
+    def lsh_of(dim: int) -> CrossPolytope:
+        return replace(how, dim=dim)
 
     @F.pandas_udf("binary")
     def packed(v: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or len(x) != lsh.dim else (np.asarray(x, "<f8") + 0.0).tobytes() for x in v])
+        return pd.Series([None if x is None else (np.asarray(x, "<f8") + 0.0).tobytes() for x in v])
 
     base = base.withColumn("__b", packed("__v")).drop("__v")
     base = materialize(base.withColumns({"__class": F.xxhash64("__b"), "__row": F.monotonically_increasing_id()}))
@@ -195,9 +208,14 @@ def near_vectors(
         .select(F.col("__class").alias("id"), "copies", "low", F.col("__b").alias("vector"))
     )
     classes = materialize(classes)
-    n = classes.count()
-    met = shards(units(hashed(classes, lsh), 512), n * lsh.tables * (1 + lsh.probes), 60_000)
-    found = materialize(met.groupBy("shard").applyInPandas(verifier(lsh, least), "id long, links long, other long"))
+    codes = materialize(hashed(classes, lsh_of))
+    # only cells in which two vectors meet, at least one by its own code, get the vectors themselves
+    shared = codes.groupBy("cell").agg(F.count(F.lit(1)).alias("__n"), F.bool_or(~F.col("probe")).alias("__own")).where("__n > 1 AND __own")
+    live = salted_left_join(codes, materialize(shared.select("cell", F.lit(True).alias("__live"))), "cell", F.col("id"))
+    cut = materialize(units(live.where("__live").drop("__live"), 512))
+    met = cut.join(classes.select("id", "vector"), "id")
+    met = shards(met, cut.count(), 60_000)
+    found = materialize(met.groupBy("shard").applyInPandas(verifier(lsh_of, least), "id long, links long, other long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")))
     known = classes.select("id", "copies", "low").join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
