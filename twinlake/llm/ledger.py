@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from twinlake.sources.scratch import materialize
 
-from .common import salted_left_join
+from .common import located, salted_left_join, within, without
 
 RULES = "2"
 SPAN = "array<struct<kind: string, start: int, end: int>>"
@@ -75,17 +75,19 @@ def scan(docs: DataFrame, ledger: DataFrame, id_col: str = "doc_id", text_col: s
     NULL counts as the empty text. Rows that repeat an id are rows of their own; rows with equal texts share a blob
     and are scanned once. ``fresh`` says whether this call scanned the blob. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("__id"), _blob(text_col).alias("blob"))
-    rows = materialize(rows.withColumn("__row", F.monotonically_increasing_id()))
+    placed = located(docs, "__row")
+    rows = materialize(placed.select("__row", F.col(id_col).alias("__id"), _blob(text_col).alias("blob")))
     known = ledger.where(F.col("rules") == rules).select("blob").distinct()
-    unseen = rows.groupBy("blob").agg(F.min("__id").alias("__one")).join(known, "blob", "left_anti")
-    unseen = materialize(unseen.select(F.col("blob").alias("__new"), "__one"))
-    # one copy of each unseen blob meets its text by id; a blob of a NULL id cannot be looked up so and is found below
-    text = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    named = text.join(unseen, F.col("__id").eqNullSafe(F.col("__one"))).where(_blob("__text") == F.col("__new"))
-    scanned = named.select(F.col("__new").alias("blob"), F.lit(rules).alias("rules"), _find_all("__text").alias("spans"))
-    # rows that repeat id and text give the same findings twice
-    added = materialize(scanned.dropDuplicates(["blob"]))
+    # one row of each unseen blob is scanned where it is
+    unseen = rows.groupBy("blob").agg(F.min("__row").alias("__row")).join(known, "blob", "left_anti")
+    unseen = materialize(unseen.select("__row"))
+    texts = placed.select("__row", F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    if 2 * unseen.count() <= rows.count():
+        texts = within(texts, unseen, "__row")
+    else:
+        texts = without(texts, materialize(rows.select("__row").join(unseen, "__row", "left_anti")), "__row")
+    scanned = texts.select(_blob("__text").alias("blob"), F.lit(rules).alias("rules"), _find_all("__text").alias("spans"))
+    added = materialize(scanned)
     old = ledger.where(F.col("rules") == rules).join(rows.select("blob").distinct(), "blob", "left_semi")
     facts = added.select("blob", "spans", F.lit(True).alias("fresh")).unionByName(
         old.select("blob", "spans", F.lit(False).alias("fresh")).dropDuplicates(["blob"])
