@@ -114,3 +114,86 @@ def test_empty_and_unlabelled_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.materialize(stage(spark, docs, ""))
         assert docs.count() == 0
+
+
+def test_training_skips_what_does_not_fit(spark):
+    """A text over the byte limit, in whatever place, costs only itself; a repeated id is one row."""
+    rows = [(i, ("good words here " if i % 2 else "BUY NOW!! ") * 5, "en", "s", 1) for i in range(60)]
+    rows += [(100 + i, "x" * 60_000, "en", "s", 1) for i in range(6)] + [(1, "z" * 500, "en", "s", 1)] * 40
+    docs = spark.createDataFrame(rows, PIPE)
+    labels = spark.createDataFrame([(r[0], r[0] % 2) for r in rows], "doc_id long, quality int")
+    model = quality.fit(docs, labels, "doc_id", "text", "quality", sample_bytes=50_000)
+    scores = {r["doc_id"]: r["score"] for r in quality.scored(docs.where("doc_id < 60 AND length(text) < 400"), model).collect()}
+    assert all((s >= 0.5) == bool(k % 2) for k, s in scores.items()) and len(scores) == 60
+    nothing = quality.fit(docs, labels.where("doc_id >= 100"), "doc_id", "text", "quality", sample_bytes=50_000)
+    assert [r["score"] for r in quality.scored(docs.limit(2), nothing).collect()] == [0.5] * 2
+
+
+def test_rows_without_id_are_scanned_once_each(spark):
+    """A third of the rows under one NULL id, each text with a secret of its own, seen ones left alone."""
+    from twinlake.llm import ledger
+
+    rows = [(None if i % 3 == 0 else i % 7, f"token = value{i:04d}", "en", "s", 1) for i in range(600)]
+    docs = spark.createDataFrame(rows, PIPE)
+    found, added = ledger.scan(docs, ledger.empty_ledger(spark))
+    assert added.count() == 600 and all(len(r["spans"]) == 1 and r["fresh"] for r in found.collect())
+    more = spark.createDataFrame([*rows, *rows[:50], (None, "secret: another1", "en", "s", 1)], PIPE)
+    again, fresh = ledger.scan(more, added)
+    assert fresh.count() == 1 and sum(r["fresh"] for r in again.collect()) == 1 and again.count() == 651
+
+
+def test_busy_anchors_are_cut_by_bytes(spark, monkeypatch):
+    import plain
+
+    from twinlake.llm import repeats
+
+    monkeypatch.setattr(repeats, "BUSY_BYTES", 200)
+    rng = np.random.default_rng(3)
+    shared = ["".join(rng.choice(list("abc"), 40)) for _ in range(4)]
+    texts = {i: "z" * (30 + i) + shared[i % 4] + "".join(rng.choice(list("abcd"), 20)) for i in range(60)}
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in texts.items()], PIPE)
+    out = repeats.remove_repeats(docs, length=20, grams=(8, 16, 20)).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out} == plain.repeats(texts, 20)
+
+
+def test_scratch_of_a_stage_is_deleted(spark, tmp_path):
+    """After a stage only its list of dropped rows is left, and after the run only the stage's own table."""
+    from pathlib import Path
+
+    from twinlake.sources.scratch import scope, shared_dir
+
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(k, t, "en", "s", 1) for k, t in near_copies(10).items()], PIPE).write.parquet(path)
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    tables = lambda: set(folder.iterdir()) if folder.exists() else set()
+    before = tables()
+    with scope(spark) as own:
+        out = own.keep(corpus_pipeline.drop_near_copies(spark, spark.read.parquet(path), ""))
+    assert len(tables() - before) == 1 and out.count() > 0
+
+
+def test_language_models_are_plain_kneser_ney():
+    """Entropies and predictions of the sorted arrays against dictionaries, unseen letters and contexts included."""
+    import plain
+
+    kinds = {"aa": COMMON, "bb": RARE, "cc": ["ño", "çé", "ß", "İ", "Ωμ", "x1y", "a--b"]}
+    texts = {lang: [speech(i, k) for i in range(30)] for lang, k in kinds.items()}
+    models = []
+    for lang in kinds:
+        gram, n = np.unique(np.concatenate([langid.grams(langid.fold(t)) for t in texts[lang]]), return_counts=True)
+        models.append(langid.KneserNey.fit(gram, n))
+    model = langid.LanguageModel(list(kinds), models, [0.0] * 3, [np.inf] * 3)
+    asked = [speech(500 + i, k) for k in kinds.values() for i in range(10)] + ["", "a", " ?! ", "zzz qqq 你好", "sch" * 50, "Á b\tc"]
+    want = np.array([[bits(t) for bits in (plain.kneser_ney(texts[lang]) for lang in kinds)] for t in asked])
+    got, _ = model.entropies(asked)
+    assert np.allclose(got, want, atol=1e-9)
+    assert model.predict(asked)["lang_pred"].tolist()[:30] == [list(kinds)[i] for i in want[:30].argmin(1)]
+
+
+def test_attention_scores_are_the_plain_ones():
+    import plain
+
+    texts = [speech(i, COMMON) + "\n" + speech(i + 1, RARE) if i % 2 else "BUY NOW!! " * 9 + "\n\n" + speech(i, RARE) for i in range(40)]
+    model = quality.train(texts, [i % 2 for i in range(40)], epochs=15)
+    for text in [*texts[:4], "", "one\ntwo\nthree", "x" * 5000]:
+        assert abs(plain.attention(model, text) - model.score([text])[0]) < 1e-4

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .workers import give_back
 
@@ -170,27 +171,35 @@ def fit(
 ) -> AttentionModel:
     """Train on at most ``sample`` labelled documents (the smallest hashes of their ids) of at most ``sample_bytes``.
 
-    Without any labelled document every text scores 0.5. Rows without label are ignored; of repeated labels the largest counts. Labels of one class only are accepted.
+    Without any labelled document that fits every text scores 0.5. A text that would exceed ``sample_bytes`` is passed
+    over; of rows that share an id the shortest text is learned. Rows without label are ignored; of repeated labels the largest counts. Labels of one class only are accepted.
     """
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id IS NOT NULL AND __y IS NOT NULL")
     known = known.groupBy("__id").agg(F.max("__y").alias("__y"))
     chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(sample)
     # at most ``sample`` rows
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(chosen), "__id")
-    sized = rows.withColumn("__h", F.xxhash64("__id", F.lit(1)))
-    got = sized.select("__id", "__h", "__y", F.octet_length("__t").alias("__n")).toPandas().sort_values(["__h", "__id"])
-    if not len(got):
+    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__t")).join(F.broadcast(chosen), "__id")
+    # of rows that share an id the shortest text counts, so the driver gets one row an id
+    text = F.struct(F.octet_length("__t").cast("long").alias("n"), F.xxhash64("__t").alias("h"))
+    sizes = rows.groupBy("__id", "__y").agg(F.min(text).alias("w")).select("__id", "__y", "w.n", "w.h", F.xxhash64("__id", F.lit(1)).alias("__o"))
+    kept, used = [], 0
+    for r in sorted(sizes.collect(), key=lambda r: (r["__o"], r["__id"])):
+        if used + r["n"] <= sample_bytes:  # a text that does not fit is passed over
+            kept.append((r["__id"], r["h"]))
+            used += r["n"]
+    if not kept:
         return neutral()
-    kept = got[got["__n"].fillna(0).cumsum() <= sample_bytes]
-    if not len(kept):
-        raise ValueError("no labelled document to learn from")
-    last = kept["__h"].iloc[-1]
-    data = sized.where(F.col("__h") <= int(last)).select("__id", "__h", "__y", "__t").toPandas().sort_values(["__h", "__id", "__t"])
+    wanted = docs.sparkSession.createDataFrame(kept, T.StructType([T.StructField("__id", rows.schema["__id"].dataType), T.StructField("__h", T.LongType())]))
+    data = rows.withColumn("__h", F.xxhash64("__t")).join(F.broadcast(wanted), ["__id", "__h"]).dropDuplicates(["__id"])
+    data = data.withColumn("__o", F.xxhash64("__id", F.lit(1))).toPandas().sort_values(["__o", "__id"])
     return train(list(data["__t"]), data["__y"].to_numpy())
 
 
 def scored(docs: DataFrame, model: AttentionModel, text_col: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the score of each whole text (0 to 1; NULL counts as empty, and empty texts are scored)."""
+    """``docs`` with the score of each whole text (0 to 1; NULL counts as empty, and empty texts are scored).
+
+    A column that is called like ``out`` is replaced.
+    """
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
         return pd.Series(model.score(list(text)))
