@@ -25,8 +25,11 @@ def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def _pick(runs: Column, pos: Column) -> Column:
-    """The value of the first run that ends after the position."""
-    return F.filter(runs, lambda r: r["hi"] > pos)[0]["v"]
+    """The value of the first run that ends after the position.
+
+    The position is bound once a row: Spark would put its digest into the inner lambda and compute it for every run.
+    """
+    return F.transform(F.array(pos), lambda p: F.filter(runs, lambda r: r["hi"] > p)[0]["v"])[0]
 
 
 def draw_weighted(df: DataFrame, cells: DataFrame, by: list[str], value: str, u: Column, out: str) -> DataFrame:
