@@ -166,7 +166,8 @@ class Model:
         codes = [f"__d_{n.name}" for n in members]
         ranked, _ = global_rank(joint.select(*codes, weight.cast("long").alias("__n")), *[F.col(c).asc_nulls_first() for c in codes], name="__idx")
         ranked = materialize(ranked)
-        name = "&".join(n.name for n in members)
+        # a joint node of one column is not that column's own node
+        name = "&".join(n.name for n in members) if len(members) > 1 else f"&{members[0].name}"
         node = Node(name, "joint", [n.name for n in members])
         nodes = [node, *[replace(n, given=True, parent=None) if n.name in names else n for n in self.nodes]]
         cells = {**self.cells, name: materialize(ranked.select(F.col("__idx").alias(f"__d_{name}"), "__n"))}
