@@ -2,9 +2,11 @@
 
 import re
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from twinlake.functions.rand import uniform
+from twinlake.llm import jaccard, langid
 from twinlake.operators.draw import draw_weighted
 
 
@@ -16,3 +18,31 @@ def test_a_draw_digests_its_key_once_a_row(spark):
     plan = drawn._jdf.queryExecution().optimizedPlan().toString()
     inner = re.search(r"filter\(__runs.*", plan).group(0)
     assert "md5" in plan and "md5" not in inner
+
+
+def test_calibration_texts_are_scored_once(spark):
+    rows = spark.createDataFrame([("de", "der die das " * 9)], "lang string, text string")
+    plan = langid._own_texts(rows, langid.LanguageModel([], [], [], []))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_near_texts_are_found_by_linked_fingerprints(spark, monkeypatch):
+    """Without any minimum hash, near copies whose fingerprints differ in at most three bits are linked."""
+    words = [f"w{i * 7919 % 1000}" for i in range(400)]
+    texts = {1: words, 2: [*words[:-1], "other"], 3: [f"v{i}" for i in range(400)]}
+    a, b = (jaccard.majority(jaccard.shingles(" ".join(texts[k]))) for k in (1, 2))
+    assert 0 < (a ^ b).bit_count() <= 3
+
+    def prints_only(size):
+        from twinlake.llm.jaccard import majority, shingles
+
+        @F.pandas_udf("print long, cells array<long>")
+        def run(text: pd.Series) -> pd.DataFrame:
+            prints = [int.from_bytes(majority(shingles(t, size)).to_bytes(8, "little"), "little", signed=True) for t in text]
+            return pd.DataFrame({"print": prints, "cells": [[] for _ in prints]})
+
+        return run
+
+    monkeypatch.setattr(jaccard, "_cells", prints_only)
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.near_texts(docs).collect()} == {1: 1, 2: 1, 3: 3}
