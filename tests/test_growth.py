@@ -1,12 +1,15 @@
 """Steps whose cost grew faster than their input."""
 
 import re
+from collections import Counter
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from twinlake.functions.rand import uniform
 from twinlake.llm import jaccard, langid
+from twinlake.operators import basket
 from twinlake.operators.draw import draw_weighted
 
 
@@ -46,3 +49,19 @@ def test_near_texts_are_found_by_linked_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "_cells", prints_only)
     docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in jaccard.near_texts(docs).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_itemsets_of_every_size_and_one_shuffle_by_basket(spark):
+    rows = [(b, chr(97 + i), 1) for b in range(60) for i in range(6) if (b * 7 + i * i * 3) % 11 > 2]
+    df = spark.createDataFrame(rows, "b long, i string, q int")
+    kept = basket.baskets(df, "b", "i", "q")
+    assert "Join" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    held = {}
+    for b, i, _ in rows:
+        held.setdefault(b, set()).add(i)
+    held = {b: s for b, s in held.items() if len(s) >= 2}
+    want = Counter(c for s in held.values() for k in range(1, 7) for c in combinations(sorted(s), k))
+    found, n = basket.frequent_itemsets(kept, "b", "i", 0.2)
+    assert n == len(held)
+    got = {tuple(r["items"]): (r["size"], r["freq"]) for r in found.collect()}
+    assert got == {c: (len(c), f) for c, f in want.items() if f >= 0.2 * n} and max(map(len, got)) >= 4

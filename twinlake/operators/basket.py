@@ -8,9 +8,9 @@ of frequent items at most, however many rows a basket has.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlake.operators.clean import positive_only
@@ -26,15 +26,16 @@ def baskets(df: DataFrame, basket: str, item: str, qty: str, min_items: int = 2)
         .filter(F.col("__q") >= 1)
         .select(basket, item)
     )
-    # both uses of the pairs share one shuffle
-    large = pairs.groupBy(basket).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_items)
-    return pairs.join(large.select(basket), basket, "left_semi")
+    # counted beside the pairs, so they are shuffled once more and not twice
+    sized = pairs.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(basket)))
+    return sized.filter(F.col("__n") >= min_items).select(basket, item)
 
 
 def frequent_itemsets(pairs: DataFrame, basket: str, item: str, min_support: float) -> tuple[DataFrame, int]:
     """Itemsets in at least ``min_support`` of the baskets: ``items`` (sorted), ``size``, ``freq``, ``support``.
 
-    Also returns the number of baskets.
+    Also returns the number of baskets. Counted level by level (Apriori): equal baskets are counted as one with their
+    number, and only sets whose subsets are all frequent are counted.
     """
     pairs = materialize(pairs)
     n = pairs.select(basket).distinct().count()
@@ -46,21 +47,37 @@ def frequent_itemsets(pairs: DataFrame, basket: str, item: str, min_support: flo
     frequent = materialize(
         pairs.groupBy(item).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= need).select(item)
     )
-    rows = materialize(
-        pairs.join(frequent, item, "left_semi").groupBy(basket).agg(F.collect_set(item).alias("items")).select("items")
-    )
-    n_rows = rows.count()
-    if n_rows == 0:
-        return spark.createDataFrame([], f"items array<{kind}>, size int, freq bigint, support double"), n
-    # half a basket below the wanted count, so rounding cannot move it
-    model = FPGrowth(itemsCol="items", minSupport=(need - 0.5) / n_rows, minConfidence=0.0).fit(rows)
-    found = model.freqItemsets.select(
-        F.array_sort("items").alias("items"),
-        F.size("items").alias("size"),
-        F.col("freq"),
-        (F.col("freq") / F.lit(n)).alias("support"),
-    )
-    return materialize(found), n
+    held = pairs.join(frequent, item, "left_semi").groupBy(basket).agg(F.array_sort(F.collect_set(item)).alias("items"))
+    # equal baskets are one row with their number
+    kinds = materialize(held.groupBy("items").agg(F.count(F.lit(1)).alias("n")))
+    first = kinds.select("n", F.explode("items").alias("x")).groupBy(F.array("x").alias("items")).agg(F.sum("n").alias("freq"))
+    found = [materialize(first)]
+    sets = kinds.select("items", "n", F.explode("items").alias("x")).select("items", "n", F.array("x").alias("set"))
+    while not found[-1].isEmpty():
+        # every set grows by the items of its basket behind its last one, so each is met once a basket
+        more = F.filter("items", lambda x: x > F.element_at("set", -1))
+        grown = sets.select("items", "n", "set", F.explode(more).alias("x"))
+        grown = grown.select("items", "n", F.concat("set", F.array("x")).alias("set"))
+        wanted = _candidates(found[-1])
+        grown = grown.join(wanted, "set", "left_semi")
+        often = grown.groupBy("set").agg(F.sum("n").alias("freq")).filter(F.col("freq") >= need)
+        found.append(materialize(often.withColumnRenamed("set", "items")))
+        sets = materialize(grown.join(found[-1].select(F.col("items").alias("set")), "set", "left_semi"))
+    all_ = reduce(DataFrame.unionByName, found)
+    return materialize(all_.select("items", F.size("items").alias("size"), "freq", (F.col("freq") / F.lit(n)).alias("support"))), n
+
+
+def _candidates(frequent: DataFrame) -> DataFrame:
+    """The sets (``set``, written) of one item more whose subsets of one item less are all in ``frequent`` (sets of one size)."""
+    known = frequent.select("items", F.slice("items", 1, F.size("items") - 1).alias("__head"), F.element_at("items", -1).alias("__last"))
+    other = known.select("__head", F.col("__last").alias("__next"))
+    grown = known.join(other, "__head").filter(F.col("__last") < F.col("__next"))
+    grown = grown.select(F.concat("items", F.array("__next")).alias("set"))
+    # a set of k items has k subsets of k - 1
+    subsets = grown.select("set", F.posexplode("set").alias("__at", "__x"))
+    subsets = subsets.select("set", F.concat(F.expr("slice(set, 1, __at)"), F.expr("slice(set, __at + 2, size(set))")).alias("items"))
+    met = subsets.join(frequent.select("items"), "items", "left_semi").groupBy("set").agg(F.count(F.lit(1)).alias("__n"))
+    return materialize(met.filter(F.col("__n") == F.size("set")).select("set"))
 
 
 def association_rules(itemsets: DataFrame, metric: str = "lift", min_threshold: float = 1.0) -> DataFrame:
