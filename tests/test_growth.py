@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from twinlake.functions.rand import uniform
 from twinlake.llm import jaccard, langid
-from twinlake.operators import basket
+from twinlake.operators import basket, utility
 from twinlake.operators.draw import draw_weighted
 
 
@@ -65,3 +65,21 @@ def test_itemsets_of_every_size_and_one_shuffle_by_basket(spark):
     assert n == len(held)
     got = {tuple(r["items"]): (r["size"], r["freq"]) for r in found.collect()}
     assert got == {c: (len(c), f) for c, f in want.items() if f >= 0.2 * n} and max(map(len, got)) >= 4
+
+
+def test_fits_in_many_steps_have_few_tasks(spark, monkeypatch):
+    tasks, real = [], utility.classifier
+
+    class Spy:
+        def __init__(self, *args, **more):
+            self.model = real(*args, **more)
+
+        def fit(self, train):
+            tasks.append(train.rdd.getNumPartitions())
+            return self.model.fit(train)
+
+    monkeypatch.setattr(utility, "classifier", Spy)
+    df = spark.range(400).repartition(8).select("id", (F.col("id") % 20).alias("x"), (1 + (F.col("id") % 20 > 9).cast("int")).alias("y"))
+    for model in ("svm", "logreg"):
+        assert utility.evaluate(model, df, ["x"], "y", "id").first()["accuracy"] > 0.9
+    assert tasks == [1, 1]

@@ -21,6 +21,8 @@ from twinlake.operators.rank import global_rank
 from twinlake.sources.scratch import materialize
 
 MODELS = ("tree", "svm", "logreg", "forest")
+#: Rows of one task in a fit that runs a job for each of its up to 1000 steps.
+STEP_ROWS = 50_000
 
 
 def ordinal_codes(df: DataFrame, cols: list[str], order: list[str], like: DataFrame | None = None) -> DataFrame:
@@ -135,6 +137,11 @@ def classification_scores(pred: DataFrame, label: str = "label", prediction: str
     )
 
 
+def stepped(train: DataFrame, rows: int) -> DataFrame:
+    """``train`` in one partition for each STEP_ROWS rows, or as many as it has if they are fewer."""
+    return train.coalesce(max(1, -(-rows // STEP_ROWS))).persist()
+
+
 def evaluate(
     model: str,
     prepared: DataFrame,
@@ -153,9 +160,12 @@ def evaluate(
     keys = [key] if isinstance(key, str) else list(key)
     rows = rows.select(*keys, "features", "label")
     train, test = split(rows, key, share, seed)
-    train = train.persist()
+    whole = train = train.persist()
     try:
         seen = train.agg(F.count_distinct("label"), F.max("label"), F.count(F.lit(1))).first()
+        if model in ("svm", "logreg"):
+            # hundreds of short jobs: each has as many tasks as the rows need, not as the cluster has cores
+            train = stepped(train, seen[2])
         if seen[0] < 2:
             return spark.createDataFrame([(None, None, None)], "rows bigint, accuracy double, f1 double")
         coded = [c for c in categorical or [] if c in features]
@@ -165,6 +175,7 @@ def evaluate(
         fitted = classifier(model, int(seen[1]) + 1, widest, seen[2], seed).fit(train)
     finally:
         train.unpersist()
+        whole.unpersist()
     return classification_scores(fitted.transform(test))
 
 
