@@ -355,3 +355,43 @@ def test_secrets(spark):
     assert [tuple(s) for s in got[40]["spans"]] == plain.secrets(LEAKS[0][1])
     assert ledger.scan(more, added, rules="3")[1].count() == 2
     assert ledger.scan(docs(spark, []), added)[0].count() == 0
+
+
+def test_packing_holds_small_parts(spark, monkeypatch):
+    """Long texts reach the workers in batches of a few MB, and ids are put together in blocks."""
+    import tracemalloc
+
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+
+    from twinlake.llm import packing, workers
+
+    def sizes(vocabulary, end_id):
+        def run(batches):
+            for b in batches:
+                n, empty = b.num_rows, np.zeros(b.num_rows, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array(empty, pa.int32()), pa.array(empty), pa.array(empty + b.nbytes), pa.array([b""] * n)],
+                    names=["doc_id", "__part", "__local", "__tokens", "__ids"],
+                )
+
+        return run
+
+    docs = spark.range(8000, numPartitions=1).selectExpr("id AS doc_id", "repeat('ab ', 1000) AS text")
+    before = spark.conf.get(workers.BATCH_BYTES)
+    with monkeypatch.context() as patch:
+        patch.setattr(packing, "_tokenize", sizes)
+        most = packing.tokenized(docs, "doc_id", "text", "word_bpe_49k.json", 2).agg(F.max("__tokens")).first()[0]
+    assert most < 1.5 * packing.SLICE_BYTES and spark.conf.get(workers.BATCH_BYTES) == before
+
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    texts = pa.array(["some words, again and again " * 5000] * 30)
+    tracemalloc.start()
+    try:
+        ids, counts = words.encode(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert counts.sum() == len(ids) and len(set(counts.tolist())) == 1
+    assert peak < 30 << 20, peak >> 20
