@@ -83,3 +83,23 @@ def test_fits_in_many_steps_have_few_tasks(spark, monkeypatch):
     for model in ("svm", "logreg"):
         assert utility.evaluate(model, df, ["x"], "y", "id").first()["accuracy"] > 0.9
     assert tasks == [1, 1]
+
+
+def test_mixture_steps_are_spread_over_tasks(spark, monkeypatch):
+    """A table read as one part, as a file with one row group is, is fitted in one part for each STEP_ROWS rows."""
+    from pyspark.sql import functions as F
+
+    from twinlake.operators import fidelity
+
+    parts = []
+
+    class Spy(fidelity.GaussianMixture):
+        def fit(self, rows):
+            parts.append((rows.rdd.getNumPartitions(), rows.count()))
+            return super().fit(rows)
+
+    monkeypatch.setattr(fidelity, "STEP_ROWS", 100, raising=False)
+    monkeypatch.setattr(fidelity, "GaussianMixture", Spy)
+    rows = spark.range(950, numPartitions=1).select((F.col("id") % 2 * 50 + F.col("id") % 7).cast("double").alias("x"))
+    got = fidelity.mixture_loglik(rows, rows, ["x"], k_candidates=(1, 2), max_iter=5).first()
+    assert parts == [(10, 950)] and got["rows"] == 950

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from twinlake.functions.values import texts_of
 from twinlake.operators.aggregate import melt
 from twinlake.operators.rank import exact_quantiles
+from twinlake.operators.utility import STEP_ROWS
 from twinlake.sources.scratch import materialize
 
 
@@ -356,9 +357,13 @@ def mixture_loglik(
     stats = column_stats(o, cols).collect()  # one row per column
     shift = {r["column"]: (r["mean"], r["std"] or 1.0) for r in stats}
     shift = {c: shift[c] for c in cols}
-    fit_rows = _assembled(o, cols, shift).select("features").persist()
+    fit_rows = read = _assembled(o, cols, shift).select("features").persist()
     try:
-        n, d = fit_rows.count(), len(cols)
+        n, d = read.count(), len(cols)
+        tasks = -(-n // STEP_ROWS)
+        if read.rdd.getNumPartitions() < tasks:
+            # a pass for each of up to max_iter steps: a file of few row groups would be one task's work every time
+            fit_rows = read.repartition(tasks).persist()
         fits = []
         for k in k_candidates:
             if k == 1:
@@ -370,6 +375,7 @@ def mixture_loglik(
             fits.append((model.summary.logLikelihood, np.asarray(model.weights), means, covs))
     finally:
         fit_rows.unpersist()
+        read.unpersist()
 
     def bic(fit):
         k = len(fit[1])
