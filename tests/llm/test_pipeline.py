@@ -63,3 +63,62 @@ def test_odd_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.materialize(stage(spark, docs, SMALL))
     assert docs.count() > 0
+
+
+def test_long_texts_reach_python_in_small_batches(spark, monkeypatch):
+    """Language ID and near-dedup: a batch of many MB fails here."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from twinlake.llm import jaccard, langid, workers
+
+    most = 6 << 20
+    count, cells = langid._count, jaccard._cells
+
+    def counted(batches):
+        def small():
+            for pdf in batches:
+                assert pdf["text"].str.len().sum() < most
+                yield pdf
+
+        return count(small())
+
+    def predictor(model):
+        @F.pandas_udf("struct<rejected: boolean>")
+        def run(text: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame({"rejected": [bool(text.str.len().sum() >= most)] * len(text)})
+
+        return run
+
+    def checked(size):
+        inner = cells(size)
+        plain_run = inner.func
+
+        @F.pandas_udf(inner.returnType)
+        def run(text: pd.Series) -> pd.DataFrame:
+            assert text.str.len().sum() < most
+            return plain_run(text)
+
+        return run
+
+    docs = spark.range(6000, numPartitions=1).selectExpr("id AS doc_id", "concat(id % 5000, ' ', repeat('yz', 1500)) AS text", "'aa' AS lang")
+    docs = corpus_pipeline.materialize(docs)
+    before = spark.conf.get(workers.BATCH_BYTES)
+    monkeypatch.setattr(langid, "_count", counted)
+    monkeypatch.setattr(langid, "predictor", predictor)
+    monkeypatch.setattr(jaccard, "_cells", checked)
+    assert corpus_pipeline.identify_language(spark, docs, "").count() == 6000
+    assert corpus_pipeline.drop_near_copies(spark, docs, "").count() == 5000
+    assert spark.conf.get(workers.BATCH_BYTES) == before
+
+
+def test_pieces_are_cut_without_python(spark):
+    words = "one two three, four five! "
+    texts = {1: words * 3000, 2: "", 3: None, 4: "a b c", 5: words * 700, 6: "Ünï 漢字 \U0001f600 x"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    cut = corpus_pipeline.pack_tokens(spark, docs, "")
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "MapIn" not in plan and "Python" not in plan
+    rows = [tuple(r) for r in cut.collect()]
+    assert sum(r[0] == 1 for r in rows) > 4
+    plain.pieces_hold(rows, texts)
